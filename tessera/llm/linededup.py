@@ -152,7 +152,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, broadcast_rows: int = 300
     shared = each.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("k")
     shared = broadcast_if_small(stored(shared, "lines-halves"), broadcast_rows)
     tagged = classes.select("h1", "h2", "first", F.posexplode(F.array(*keys)).alias("at", "k")).join(shared, "k", "left_semi")
-    alive = tagged.groupBy("h1", "h2", "first").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("at"))).alias("halves"))
+    alive = tagged.groupBy("h1", "h2", "first").agg(F.expr("bit_or(shiftleft(1, at))").alias("halves"))
     asked = alive.groupBy(F.col("first.d").alias("d"), F.col("first.rk").alias("rk")).agg(F.collect_list(F.struct("h1", "h2", "halves", F.col("first.line").alias("line"))).alias("wanted"))
     asked = broadcast_if_small(stored(asked, "lines-asked"), broadcast_rows)
     # rows that repeat would answer twice

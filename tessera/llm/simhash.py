@@ -29,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_path, new_path, row_key, stored
@@ -176,15 +176,16 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     return spark.read.parquet(old).select("fp", "label")
 
 
-#: The order of documents: by doc_id, null last, then by content.
-_LABEL = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk1", "rk2")
+def _label() -> Column:
+    """The order of documents: by doc_id, null last, then by content."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk1", "rk2")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, rk1, rk2, fp (signed long) of each document, and ``label``, the first document of
     its component; ``label.doc_id`` is the smallest doc_id reachable."""
     fps = stored(fingerprints(docs, width), "simhash-fps")
-    nodes = stored(fps.groupBy("fp").agg(F.min(_LABEL).alias("label")), "simhash-nodes")
+    nodes = stored(fps.groupBy("fp").agg(F.min(_label()).alias("label")), "simhash-nodes")
     found = components(nodes, links(nodes.select("fp"), nodes.count(), radius))
     ids = nodes.join(found.withColumnRenamed("label", "least"), "fp", "left").select("fp", F.coalesce("least", "label").alias("label"))
     return fps.join(stored(ids, "simhash-ids"), "fp")

@@ -1,0 +1,655 @@
+"""Each registered operator against a plain computation of its definition, on texts with nulls,
+empty and long values, ties, repeated rows and extra columns, and on an empty table."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import ann, langid, linededup, mixing, packing, pii, queries, simhash, sketch, suffixdedup, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __size string, rk1 string, fp int"
+
+
+def word(rng):
+    return "".join(rng.choice(("ba", "ke", "lo", "mi", "ru", "ñá")) for _ in range(rng.randint(1, 4)))
+
+
+def sentence(rng, n):
+    return " ".join(word(rng) for _ in range(n))
+
+
+def make_docs(seed=1, n=60):
+    rng = random.Random(seed)
+    passage = sentence(rng, 120)
+    pii_bits = ["mail bosbt.42@mail8.example.com now", "at 42.144.35.254 or 1.2.3.400", "card 4041894974608795 ok 4041 8949 7460 8795", "call +1 (988) 555-2485 today", "x@y a@b.c@d.e.f"]
+    docs, line = [], sentence(rng, 12)
+    for i in range(n):
+        parts = [sentence(rng, rng.randint(1, 40)) for _ in range(rng.randint(1, 6))]
+        if i % 5 == 0:
+            parts.insert(0, passage)
+        if i % 4 == 0:
+            words = line.split()
+            if i % 8 == 0:
+                words[rng.randrange(len(words))] = word(rng)
+            elif i % 12 == 4:
+                del words[rng.randrange(len(words))]
+            parts.append(" ".join(words))
+        if i % 3 == 0:
+            parts.append(sentence(rng, 3) + " " + rng.choice(pii_bits) + " " + sentence(rng, 3))
+        docs.append([i * 3, "\n".join(parts)])
+    for i in range(10):  # near and exact copies
+        words = docs[i][1].split(" ")
+        if i % 2:
+            words[rng.randrange(len(words))] = "changed"
+        docs.append([500 + i, " ".join(words)])
+    docs += [[700, None], [701, ""], [702, "   \n\t "], [703, "a"], [704, "A b"], [705, "b c \U0001f600"], [706, "12345 67"], [707, "ab" * 3000], [708, "z" * 1500], [709, "y " * 4000]]
+    docs += [docs[3], docs[3], [docs[4][0], "other text of the same id"], [None, "no id at all"], [None, docs[5][1]]]
+    langs = ["en", "fr", None]
+    return [(d, t, langs[i % 3], None if i % 9 == 0 else f"s{i % 4}", None, "x", "y", i) for i, (d, t) in enumerate(docs)]
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return make_docs()
+
+
+@pytest.fixture(scope="module")
+def frame(spark, docs):
+    return spark.createDataFrame(docs, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bag(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+# 1 --------------------------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base_of(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def check_base(rows, docs):
+    got = bag((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows)
+    want = []
+    for d, t in docs:
+        spans = base_of(t or "")
+        n = Counter(k for k, _, _ in spans)
+        want.append((d, *(n[k] for k in BASE), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+    assert got == bag(want)
+
+
+def test_pii_patterns(frame, docs):
+    rows = pii.report(frame).collect()
+    check_base(rows, [(d[0], d[1]) for d in docs])
+
+
+def test_pii_odd_strings(spark):
+    rng = random.Random(3)
+    alphabet = "0123456789..@@--  ++()ab%_\n"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    texts += ["a@b.c_x@d.e", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "001.002.003.0255", "+1" + "2" * 30, "4041894974608795" * 2, "a." * 20000 + "x", "9" * 30000, "a@" + "b." * 5000 + "c"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    check_base(pii.report(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+
+
+def test_pii_terms(spark):
+    rng = random.Random(5)
+    rows, secret = [], "zanzibarian"
+    for i in range(60):
+        line = f"the {word(rng)} {secret if i < 6 else word(rng)} wrote to {'agent.9@spy.example.com' if i < 6 else f'u{i}@mail.example.com'} about {word(rng)}"
+        rows.append((i, f"{sentence(rng, 20)}\n{line}\n{sentence(rng, 10)}"))
+    rows += [(100 + i, f"the {secret}ish word {i}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.report(frame).collect()}
+    for i, t in rows[:6]:
+        at = t.index(secret)
+        assert f"drop:{at}:{at + len(secret)}" in found[i] and "email:" in found[i]
+    # "the" stands with every address, and discloses none; copies of one text prove nothing
+    assert all("term" not in found[i] and "drop" not in found[i] for i, _ in rows[6:])
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(9)] + [(50 + i, sentence(rng, 30)) for i in range(50)], "doc_id long, text string")
+    assert all("drop" not in r.spans for r in pii.report(copies).collect())
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    want = rows[0][1].replace("agent.9@spy.example.com", "<EMAIL>").replace(secret, "")
+    assert clean[0] == want and clean[100] == rows[60][1]
+
+
+def test_pii_empty(empty):
+    assert pii.report(empty).count() == 0
+
+
+# 2 --------------------------------------------------------------------------------------------
+
+
+def shingles(text, width=5):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_sketch(frame, docs):
+    rows = sketch.report(frame, k=256).collect()
+    assert len(rows) == len(docs)
+    order = sorted(((d[0], d[1] or "") for d in docs), key=lambda x: (x[0] is None, -(x[0] or 0)))
+    ids = Counter(d for d, _ in order)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)]
+        if ids[d] > 1 or ids[nxt[0]] > 1:
+            continue
+        r = by[d][0]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[1][:half]
+        assert r.n_chars == len(t)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for got, other in ((r.near_edited, edited), (r.near_next, nxt[1])):
+            a, b = shingles(t), shingles(other)
+            assert abs(got - (len(a & b) / len(a | b) if a | b else 1)) < 0.12
+    assert len({r.fingerprint for r in by[9]}) == 1  # rows that repeat
+
+
+def test_sketch_ranges(spark):
+    docs = [(7 * i % 1009, f"text number {7 * i % 1009} of many words here") for i in range(1009)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows, _ = sketch.with_next(frame, rows_per_range=50)
+    got = {r.doc_id: r.next_text for r in rows.filter("NOT ghost").collect()}
+    assert len(got) == 1009 and all(got[i] == f"text number {(i - 1) % 1009} of many words here" for i in range(1009))
+
+
+def test_sketch_estimates(spark):
+    k = 64
+    frame = spark.createDataFrame([(" ".join(f"w{i}" for i in range(a, b)), " ".join(f"w{i}" for i in range(c, d))) for a, b, c, d in ((0, 2000, 1000, 3000), (0, 500, 0, 4000), (0, 30, 10, 40))], "x string, y string")
+    a, b = (sketch.bottom(sketch.shingle_hashes(F.col(c)), k) for c in "xy")
+    rows = frame.select(sketch.resemblance(a, b, k).alias("j"), sketch.containment(a, b, k).alias("c"), sketch.distinct_count(a, k).alias("n"), F.size(sketch.merge(a, b, k)).alias("m")).collect()
+    for r, (j, c, n) in zip(rows, ((996 / 2996, 996 / 1996, 1996), (496 / 3996, 1, 496), (16 / 36, 16 / 26, 26)), strict=True):
+        assert abs(r.j - j) < 0.2 and abs(r.c - c) < 0.35 and abs(r.n / n - 1) < 0.4 and r.m <= k
+
+
+def test_sketch_empty(empty):
+    assert sketch.report(empty).count() == 0
+
+
+# 3 --------------------------------------------------------------------------------------------
+
+SYLLABLES = {"aa": ("the", "ing", "ou", "sh"), "bb": ("ung", "sch", "ei", "tz"), "cc": ("eau", "ique", "oi", "le")}
+
+
+def texts_of(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def test_langid(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        lang = ("aa", "bb", "cc")[i % 3]
+        rows.append((i, texts_of(rng, lang, rng.randint(5, 120)), lang if i % 10 else None, "s"))
+    rows += [(1000, None, "aa", "s"), (1001, "", "aa", "s"), (1002, "12 345 _ !", "bb", "s"), (None, texts_of(rng, "bb", 30), None, None), (1003, texts_of(rng, "cc", 9000), None, "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in langid.identify(frame).collect()}
+    assert len(got) == len(rows)
+    import zlib
+
+    right = 0
+    for i, _, _, _ in rows[:400]:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        right += got[i].lang_pred == ("aa", "bb", "cc")[i % 3]
+        assert 0 <= got[i].score <= 1
+    assert right >= 396
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
+    assert got[None].lang_pred == "bb" and got[1003].lang_pred == "cc"
+    kept = langid.keep_known(frame)
+    assert kept.columns == frame.columns and kept.count() == len(rows) - 3
+
+
+def test_langid_switches():
+    rng = random.Random(4)
+    crf = langid.train([(texts_of(rng, lang, 60), lang) for lang in SYLLABLES for _ in range(60)])
+    (gamma,) = crf.label_texts([texts_of(rng, "aa", 50) + " " + texts_of(rng, "cc", 30)])
+    most = [crf.labels[i] for i in gamma.argmax(axis=1)]
+    assert most[:48] == ["aa"] * 48 and most[-28:] == ["cc"] * 28
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(0)
+    trans, start = np.log(rng.dirichlet(np.ones(3), 3)), np.log(rng.dirichlet(np.ones(3)))
+    lengths = np.array([1, 5, 32, 33, 100])
+    emit = rng.normal(size=(lengths.sum(), 3))
+    got, counts = langid.posteriors(emit, lengths, trans, start, pairs=True)
+    at, want, total = 0, [], np.zeros((3, 3))
+    for n in lengths:
+        e, t = np.exp(emit[at : at + n]), np.exp(trans)
+        a = [np.exp(start) * e[0]]
+        for i in range(1, n):
+            a.append(a[-1] @ t * e[i])
+            a[-1] /= a[-1].sum()
+        b = [np.ones(3)]
+        for i in range(n - 1, 0, -1):
+            b.insert(0, t @ (e[i] * b[0]))
+            b[0] /= b[0].sum()
+        for i in range(1, n):
+            p = a[i - 1][:, None] * t * (e[i] * b[i])[None]
+            total += p / p.sum()
+        g = np.array(a) * np.array(b)
+        want.append(g / g.sum(axis=1, keepdims=True))
+        at += n
+    assert np.allclose(got, np.concatenate(want)) and np.allclose(counts, total)
+
+
+def test_langid_empty(empty):
+    assert langid.identify(empty).count() == 0
+
+
+# 4 --------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    sh = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def plain_components(fps, radius=3):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= radius:
+            parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash(frame, docs):
+    rows = queries_op4(frame)
+    fps = [plain_fingerprint(d[1]) for d in docs]
+    assert bag((r.doc_id, r.fingerprint) for r in rows) == bag((d[0], f"{f:016x}") for d, f in zip(docs, fps, strict=True))
+    roots = plain_components(fps)
+    least = {}
+    for d, root in zip(docs, roots, strict=True):
+        if d[0] is not None:
+            least[root] = min(least.get(root, d[0]), d[0])
+    assert bag((r.doc_id, r.component_id) for r in rows) == bag((d[0], least.get(root)) for d, root in zip(docs, roots, strict=True))
+
+
+def queries_op4(frame):
+    found = simhash.near_duplicates(frame)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.doc_id").alias("component_id")).collect()
+
+
+def test_simhash_links(spark):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for f in list(fps):
+        for _ in range(6):
+            for _ in range(rng.randint(1, 4)):
+                f ^= 1 << rng.randrange(64)
+            fps.add(f)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for radius in (2, 3):
+        pairs = simhash.links(distinct, len(fps), radius).collect()
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= radius for a, b in pairs)
+        at = {f: i for i, f in enumerate(signed)}
+        parent = list(range(len(fps)))
+
+        def find(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            parent[find(at[a])] = find(at[b])
+        want, got = plain_components(fps, radius), [find(i) for i in range(len(fps))]
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_simhash_keep_one(frame, docs):
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len([i for i in ids if i == 9]) <= 1 and 701 not in ids  # 700 stands for the empty ones
+    found = simhash.near_duplicates(frame, width=5).select("label.rk1", "label.rk2").distinct().count()
+    assert len(ids) == found
+
+
+def test_simhash_empty(empty):
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+# 5 --------------------------------------------------------------------------------------------
+
+
+def test_mixing(frame, docs):
+    rows = mixing.mix(frame, carry=False).collect()
+    sizes = defaultdict(int)
+    for d in docs:
+        sizes[d[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", d[1] or ""))
+    want = mixing.targets(sizes)
+    assert math.isclose(sum(want.values()), sum(sizes.values()))
+    assert bag((r.doc_id, r["__size"]) for r in rows) == bag((d[0], len(re.findall(r"[^\x20\x09-\x0D]+", d[1] or ""))) for d in docs)
+    taken = defaultdict(int)
+    for r in rows:
+        assert 0 <= r["__copies"] <= 3
+        taken[r["__target"]] += r["__size"] * r["__copies"]
+    assert set(taken) == set(want.values())
+    again = mixing.mix(frame.repartition(5), carry=False).collect()
+    assert bag(rows) == bag(again)
+    emitted = mixing.emit(frame)
+    assert emitted.columns == frame.columns
+    assert emitted.count() == sum(r["__copies"] for r in rows)
+
+
+def test_mixing_targets():
+    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 187.5, "b": 75.0, "c": 37.5}
+    got = mixing.targets({"a": 10, "b": 1000, None: 200})
+    assert got["a"] == 30 and math.isclose(got["b"] / got[None], 2) and math.isclose(sum(got.values()), 1210)
+    assert mixing.targets({"a": 0}) == {"a": 0} and mixing.targets({}) == {}
+
+
+def test_mixing_follows_targets(spark):
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.randint(0, 400), f"s{rng.choice((0, 0, 0, 1, 2, 3))}") for i in range(3000)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), carry=False).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["__source_size"]] += r["__size"] * r["__copies"]
+        target[r["__source_size"]] = r["__target"]
+    assert all(abs(taken[s] / target[s] - 1) < 0.01 for s in taken)
+
+
+def test_mixing_empty(empty):
+    assert mixing.mix(empty).count() == 0
+
+
+# 6 --------------------------------------------------------------------------------------------
+
+
+def test_packing(frame, docs):
+    caps = (16, 32, 64)
+    rows = packing.pack_documents(frame, caps, shard_tokens=1500).collect()
+    sizes = Counter()
+    for d in docs:
+        sizes[d[0]] += len(re.findall(r"[^\x20\x09-\x0D]+", d[1] or ""))
+    got, bins = Counter(), defaultdict(list)
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+        bins[r.shard, r.bin].append(r)
+    assert got == +sizes and len({r.shard for r in rows}) > 1
+    for pieces in bins.values():
+        pieces.sort(key=lambda r: r.bin_start)
+        at = 0
+        for p in pieces:
+            assert p.bin_start == at
+            at += p.n_tokens
+        assert pieces[0].capacity == min(c for c in caps if c >= at)  # downsized
+    assert sum(r.n_tokens for r in rows) / sum(b[0].capacity for b in bins.values()) > 0.9
+
+
+def test_packing_plain():
+    placed, lengths = packing.pack([30, 30, 4, 4], (8, 64))
+    assert lengths == [64, 8] or lengths == [64, 64] or sum(lengths) == 72
+    assert packing.pack([], (8, 16)) == ([], []) and packing.cut(0, 8) == [] and packing.cut(20, 8) == [8, 8, 4]
+    rng = random.Random(1)
+    pieces = [rng.randint(1, 64) for _ in range(3000)]
+    placed, lengths = packing.pack(pieces, (16, 32, 64))
+    held = Counter()
+    for (b, _), p in zip(placed, pieces, strict=True):
+        held[b] += p
+    assert all(held[b] <= lengths[b] for b in held) and sum(pieces) / sum(lengths) > 0.97
+
+
+def test_packing_empty(empty):
+    assert packing.pack_documents(empty).count() == 0
+
+
+# 7 --------------------------------------------------------------------------------------------
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 24))
+    x = centres[rng.integers(0, 12, 3000)] + 0.5 * rng.normal(size=(3000, 24))
+    x[500:800] = x[500]  # many of one vector
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    bad = [(5000, None), (5100, [0.0] * 24), (5200, [float("nan")] * 24), (5300, [1.0, None] * 12), (5400, [1.0, 2.0]), (None, rows[0][1]), (5500, []), (5600, [float("inf")] * 24)]
+    frame = spark.createDataFrame(rows + bad + rows[:5], "vec_id long, embedding array<float>")
+    got = ann.search(frame, ann.every(50)).collect()
+    v = np.array([r[1] for r in rows], np.float64)
+    found, exact = defaultdict(dict), 0
+    for r in got:
+        found[r.query_id][r.rank] = (r.vec_id, r.score)
+    assert set(found) == set(range(0, 3000, 50))
+    for q, ranks in found.items():
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        assert sorted(ranks) == list(range(1, 11))
+        assert all(math.isclose(s, d[i], rel_tol=1e-12, abs_tol=1e-12) for i, s in ranks.values())
+        assert [s for _, s in (ranks[k] for k in range(1, 11))] == sorted(s for _, s in ranks.values())
+        exact += len({i for i, _ in ranks.values()} & set(want))
+        if 500 <= q < 800:
+            assert [ranks[k][0] for k in range(1, 11)] == want  # ties: the smaller ids
+    assert exact >= 0.9 * 10 * len(found)
+    few = ann.search(spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>"), ann.every(2)).collect()
+    assert len(few) == 6
+    assert ann.search(frame.limit(0), ann.every(2)).count() == 0
+
+
+# 8 --------------------------------------------------------------------------------------------
+
+
+def plain_lines(docs, min_words=5):
+    rows = sorted({(d is None, d if d is not None else 0, d, t) for d, t in docs if t is not None}, key=lambda r: r[:2])
+    seen, gone = [], defaultdict(set)
+    for _, _, d, t in rows:
+        for no, line in enumerate(t.split("\n")):
+            w = line.encode().split()
+            if len(w) < min_words:
+                continue
+            if any(linededup.near(w, o) for o in seen):
+                gone[d, t].add(no)
+            seen.append(w)
+    return {k: sorted(v) for k, v in gone.items()}
+
+
+def test_line_dedup(frame, docs):
+    unique_ids = Counter(d[0] for d in {(d[0], d[1]) for d in docs})
+    done = linededup.dedup_lines(frame)
+    assert done.columns == [*frame.columns, "__n_lines", "__n_removed"]
+    rows = done.collect()
+    assert len(rows) == len(docs)
+    gone = plain_lines([(d[0], d[1]) for d in docs])
+    want = Counter()
+    for d in docs:
+        cut = gone.get((d[0], d[1]), [])
+        text = None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in cut)
+        want[d[0], text, len(cut)] += 1
+    ambiguous = {d for d, n in unique_ids.items() if n > 1}  # order by a hash of the content
+    got = Counter((r.doc_id, r.text, r["__n_removed"]) for r in rows)
+    assert {k: n for k, n in got.items() if k[0] not in ambiguous} == {k: n for k, n in want.items() if k[0] not in ambiguous}
+    assert sum(len(x) for x in gone.values()) > 15
+
+
+def test_near_lines():
+    rng = random.Random(7)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(3000):
+        a, b = ([rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 5))] for _ in range(2))
+        assert linededup.near(a, b) == (distance(a, b) <= 1)
+
+
+def test_line_neighbourhood(spark):
+    rng = random.Random(9)
+    base = [[word(rng) for _ in range(rng.randint(5, 9))] for _ in range(12)]
+    docs = []
+    for i in range(150):
+        lines = []
+        for _ in range(4):
+            w = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                how, at = rng.randrange(3), rng.randrange(len(w))
+                w[at : at + (how != 1)] = [] if how == 2 else [word(rng)]
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    rows = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=0).collect()
+    gone = plain_lines(docs)
+    for r in rows:
+        t = docs[r.doc_id][1]
+        cut = gone.get((r.doc_id, t), [])
+        assert r.text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut)
+
+
+def test_line_dedup_empty(empty):
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+# 9 --------------------------------------------------------------------------------------------
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(1500):
+        s = [rng.randint(0, rng.choice((1, 2, 9))) for _ in range(rng.randint(0, 40))]
+        assert suffixdedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    s = [7] * 2000
+    assert suffixdedup.suffix_array(s) == list(range(1999, -1, -1))
+
+
+def check_repeats(rows, docs, length):
+    left = suffixdedup.plain_removed([(t or "").encode() for _, t in docs], length)
+    want = Counter((d, len((t or "").encode()), hashlib.sha256(k).hexdigest()) for (d, t), k in zip(docs, left, strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.kept_sha256) for r in rows) == want
+    assert any(r.n_removed for r in rows)
+
+
+def test_repeats(frame, docs):
+    rows = suffixdedup.report(frame).collect()
+    check_repeats(rows, [(d[0], d[1]) for d in docs], 400)
+
+
+@pytest.mark.parametrize("options", [{}, {"wide": 3}, {"bucket_classes": 3, "broadcast_rows": 0}])
+def test_repeats_of_pieces(spark, options):
+    rng = random.Random(11)
+    pool = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            n, at = rng.choice((100, 395, 399, 400, 401, 420, 700)), rng.choice((0, 10, 500, 1000, 2000, 3000))
+            parts += [pool[at : at + n], "".join(rng.choice("ijklmnop") for _ in range(rng.randint(0, 300)))]
+        docs.append((i, "".join(parts)))
+    docs += [(100, "q" * 900), (101, "rs" * 450), (102, "q" * 401)]
+    rows = suffixdedup.report(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect()
+    check_repeats(rows, docs, 400)
+
+
+def test_repeats_in_chunks(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "CHUNK", 700)
+    b = np.frombuffer(("x" * 50 + "ab c" * 700).encode(), np.uint8)
+    s, e, p, a, c = suffixdedup.runs(b, 400)
+    assert s[0] == 0 and e[-1] == len(b) - 400 and (s[1:] == e[:-1] + 1).all() and (p >= e).all() and (p + 64 <= s + 400).all()
+
+
+def test_repeats_empty(empty):
+    assert suffixdedup.report(empty).count() == 0
+
+
+# 10 -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_round_trip(version):
+    pages = [(1, "http://a/b c", "<p>é\r\n\r\nWARC/1.0\r\n</p>".encode()), (None, None, b""), (3, "http://x", b"\n\n" * 50)]
+    data = warc.arc_version_block("f.arc", version) + b"".join(warc.arc_record(*p, version=version) for p in pages)
+    records = list(warc.read_arc(data))
+    assert [r["URL"] for r in records] == ["http://a/b%20c", "urn:page:None", "http://x"]
+    archive = b"".join(warc.arc_to_warc(r, None if i < 2 else 1) for i, r in enumerate(records))
+    rows = [warc.page_row(*x) for x in warc.read_warc(archive)]
+    assert [r[:5] for r in rows] == [(p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i < 2 else "revisit", None if i < 2 else 1) for i, (p, _, b) in enumerate(pages)]
+    head = next(warc.read_warc(archive))[0]
+    assert head["warc-date"] == "2024-01-01T00:00:00Z" and head["warc-record-id"].startswith("<urn:uuid:")
+    with pytest.raises(ValueError):
+        list(warc.read_arc(data[:-40]))
+    with pytest.raises(ValueError):
+        list(warc.read_arc(warc.arc_record(*pages[0], version=version)))
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_archive(spark, broadcast_rows):
+    pages = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (i % 3)) for i in range(80)] + [(100, None, None), (101, "u", ""), (102, "v", "é\r\n\r\n\ud83d".encode("utf-16", "surrogatepass").decode("utf-16", "ignore")), (None, "w", "alone")]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, sha string")
+    got = bag((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(frame, records_per_file=9, broadcast_rows=broadcast_rows).collect())
+    last, want = {}, []
+    for i, _, h in pages:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    for i, _, h in pages:
+        b = (h or "").encode()
+        other = last[h or ""] if i is not None and last[h or ""] != i else None
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if other is None else "revisit", other))
+    assert got == bag(want)
+
+
+def test_archive_empty(spark):
+    assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ----------------------------------------------------------------------------------------------
+
+
+def test_registered():
+    names = list(queries.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert set(queries.oracle_sql()) <= set(names)
