@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, stored
+from tessera.llm.common import stored
 
 GRAM = 64
 #: Bytes of a symbol of the suffix array.
@@ -347,22 +347,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(doc_id, text).alias("rk"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
 
 
-def repeats(docs: DataFrame, length: int = 400, bucket_classes: int = 4000, wide: int = 16_000, broadcast_rows: int = 500_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, bucket_classes: int = 4000, wide: int = 16_000) -> DataFrame:
     """(d, rk, spans): byte spans to remove of each row that has any, not yet merged; d is doc_id
-    (null: the largest long), rk a hash of the row."""
+    (null: the largest long), rk a hash of the row.
+
+    All joins here grow with the input on both sides, and shuffle."""
     keyed = _keyed(docs).select("d", "rk", "text")
     found = stored(keyed.filter(F.octet_length("text") >= length).mapInArrow(_scan(length), "d long, rk long, s int, e int, p int, a long, c long"), "repeats-runs")
     often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeats-anchors")
-    common = found.join(broadcast_if_small(often, broadcast_rows), "a", "left_semi")
+    common = stored(found.join(often, "a", "left_semi"), "repeats-common")
     classes = stored(common.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "rk", "s", "e", "p")).alias("one")), "repeats-classes")
-    several = classes.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1")
-    several = stored(several, "repeats-several")
+    several = stored(classes.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-several")
     total = several.agg(F.sum("k")).first()[0] or 0
     buckets = max(1, -(-total // bucket_classes))
     bucket = F.when(F.col("k") > wide, F.lit(-1)).when(F.col("k") > bucket_classes // 2, F.col("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    asked = classes.join(broadcast_if_small(several, broadcast_rows), "a").select("one", F.struct("a", "c", F.col("one.s").alias("s"), F.col("one.e").alias("e"), F.col("one.p").alias("p"), bucket.cast("long").alias("bucket")).alias("w"))
-    asked = stored(asked.groupBy(F.col("one.d").alias("d"), F.col("one.rk").alias("rk")).agg(F.collect_list("w").alias("wanted")), "repeats-asked")
-    contexts = keyed.join(broadcast_if_small(asked, broadcast_rows // 10), ["d", "rk"]).mapInArrow(_fetch(length), "a long, c long, bucket long, rel int, ctx binary")
+    asked = classes.join(several, "a").select("one", F.struct("a", "c", F.col("one.s").alias("s"), F.col("one.e").alias("e"), F.col("one.p").alias("p"), bucket.cast("long").alias("bucket")).alias("w"))
+    asked = asked.groupBy(F.col("one.d").alias("d"), F.col("one.rk").alias("rk")).agg(F.collect_list("w").alias("wanted"))
+    contexts = keyed.join(asked, ["d", "rk"]).mapInArrow(_fetch(length), "a long, c long, bucket long, rel int, ctx binary")
     if several.filter(F.col("k") > wide).limit(1).count():
         contexts = stored(contexts, "repeats-contexts")
         each = contexts.filter("bucket = -1").dropDuplicates(["a", "c"]).mapInArrow(_windows(length), "a long, at int, h long, c long, w int")
@@ -408,8 +409,7 @@ def _apply(batches):
 
 def remove_repeats(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes."""
-    spans = stored(repeats(docs, length, **options), "repeats-spans")
-    joined = _keyed(docs).join(broadcast_if_small(spans, options.get("broadcast_rows", 500_000) // 10), ["d", "rk"], "left")
+    joined = _keyed(docs).join(repeats(docs, length, **options), ["d", "rk"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

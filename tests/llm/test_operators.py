@@ -580,7 +580,7 @@ def test_repeats(frame, docs):
     check_repeats(rows, [(d[0], d[1]) for d in docs], 400)
 
 
-@pytest.mark.parametrize("options", [{}, {"wide": 3}, {"bucket_classes": 3, "broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"wide": 3}, {"bucket_classes": 3}])
 def test_repeats_of_pieces(spark, options):
     rng = random.Random(11)
     pool = "".join(rng.choice("abcdefgh ") for _ in range(5000))
