@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as a shuffle has, which adaptive execution leaves as they
+    are: for small tables that the next step makes large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that no later step reads."""
     jvm = spark.sparkContext._jvm
@@ -63,6 +72,29 @@ def row_key(*cols: str) -> list[Column]:
     ]
 
 
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with a text or binary column compressed, for texts that a join must move. Whoever
+    takes it up reads it by ``unpacked``."""
+    rows = df.withColumn(column, F.col(column).cast("binary"))
+    schema = rows.schema
+
+    def of(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            small = pa.array([None if x is None else press.compress(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return rows.mapInArrow(of, schema)
+
+
+def unpacked(values: pa.Array) -> Iterator[bytes | None]:
+    """The values of a column that ``packed`` compressed, one at a time."""
+    press = zstandard.ZstdDecompressor()
+    for x in values:
+        yield press.decompress(x.as_buffer()) if x.is_valid else None
+
+
 def size_in_words(text: Column) -> Column:
     """Number of words (null: 0)."""
     trimmed = F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}\z", "")
