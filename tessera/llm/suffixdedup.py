@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import packed, stored, unpacked
 
 GRAM = 64
 #: Bytes of a symbol of the suffix array.
@@ -228,14 +228,13 @@ def _fetch(length: int):
     def of(batches):
         for batch in batches:
             a, c, rel, ctx, bucket = [], [], [], [], []
-            for text, wanted in zip(batch["text"], batch["wanted"].to_pylist(), strict=True):
-                data = memoryview(text.as_buffer())
+            for data, wanted in zip(unpacked(batch["text"]), batch["wanted"].to_pylist(), strict=True):
                 for w in wanted:
                     a.append(w["a"])
                     c.append(w["c"])
                     bucket.append(w["bucket"])
                     rel.append(w["p"] - w["s"])
-                    ctx.append(bytes(data[w["s"] : w["e"] + length]))
+                    ctx.append(data[w["s"] : w["e"] + length])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bucket, pa.int64()), pa.array(rel, pa.int32()), pa.array(ctx, pa.binary())], ["a", "c", "bucket", "rel", "ctx"])
 
     return of
@@ -363,7 +362,7 @@ def repeats(docs: DataFrame, length: int = 400, bucket_classes: int = 4000, wide
     bucket = F.when(F.col("k") > wide, F.lit(-1)).when(F.col("k") > bucket_classes // 2, F.col("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
     asked = classes.join(several, "a").select("one", F.struct("a", "c", F.col("one.s").alias("s"), F.col("one.e").alias("e"), F.col("one.p").alias("p"), bucket.cast("long").alias("bucket")).alias("w"))
     asked = asked.groupBy(F.col("one.d").alias("d"), F.col("one.rk").alias("rk")).agg(F.collect_list("w").alias("wanted"))
-    contexts = keyed.join(asked, ["d", "rk"]).mapInArrow(_fetch(length), "a long, c long, bucket long, rel int, ctx binary")
+    contexts = packed(keyed).join(asked, ["d", "rk"]).mapInArrow(_fetch(length), "a long, c long, bucket long, rel int, ctx binary")
     if several.filter(F.col("k") > wide).limit(1).count():
         contexts = stored(contexts, "repeats-contexts")
         each = contexts.filter("bucket = -1").dropDuplicates(["a", "c"]).mapInArrow(_windows(length), "a long, at int, h long, c long, w int")
@@ -397,9 +396,8 @@ def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
 def _apply(batches):
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
     for batch in batches:
-        rows, size = [], 0
-        for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"].to_pylist(), strict=True):
-            data = text.as_py()
+        rows = []
+        for doc_id, data, spans in zip(batch["doc_id"].to_pylist(), unpacked(batch["text"]), batch["spans"].to_pylist(), strict=True):
             cuts = merge(spans)
             edges = [0, *(x for cut in cuts for x in cut), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -409,7 +407,7 @@ def _apply(batches):
 
 def remove_repeats(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes."""
-    joined = _keyed(docs).join(repeats(docs, length, **options), ["d", "rk"], "left")
+    joined = packed(_keyed(docs)).join(repeats(docs, length, **options), ["d", "rk"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
