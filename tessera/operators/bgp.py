@@ -45,6 +45,12 @@ class Access:
     branches: list[Edges]
     rows: float
     values: dict[str, float]
+    parts: list[Access] | None = None
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        own = [v for a in self.parts or [self] for v in a.pattern.variables]
+        return tuple(dict.fromkeys(own))
 
 
 class Matcher:
@@ -113,6 +119,8 @@ class Matcher:
 
     def relation(self, access: Access) -> Relation:
         """The matches of one pattern. Branches of one kind stay typed, others are rendered."""
+        if access.parts:
+            return self._star(access.parts)
         p, branches = access.pattern, access.branches
         columns = {v: self.column(v) for v in p.variables}
         if not branches:
@@ -151,7 +159,9 @@ class Matcher:
         return Relation(a.df.join(b.df, shared, how), {**a.kinds, **b.kinds})
 
     def component(self, members: list[Access]) -> Relation:
-        candidates = [Candidate(m.pattern, m.rows, m.values) for m in members]
+        if self.strategy == "join" and self.choose is None:
+            members = self._stars(members)
+        candidates = [Candidate(m.pattern, m.rows, m.values, m.names) for m in members]
         by = {id(c): m for c, m in zip(candidates, members, strict=True)}
         if self.choose is not None and len(candidates) > 1:
             order = order_by_variables(candidates, variable_order(candidates, self.choose))
@@ -165,6 +175,49 @@ class Matcher:
             out = r if out is None else self._join(out, r)
         return out
 
+    def _stars(self, members: list[Access]) -> list[Access]:
+        """Patterns around one subject that are columns of one table become one access."""
+        groups: dict[object, list[Access]] = {}
+        for m in members:
+            star = m.branches[0].star if len(m.branches) == 1 else None
+            if star is None or not isinstance(m.pattern.p, Term) or m.pattern.s == m.pattern.o:
+                groups[id(m)] = [m]
+                continue
+            group = groups.setdefault((m.pattern.s, star.table, star.s), [])
+            kinds = {a.pattern.o: a.branches[0].o_kind for a in group}
+            if kinds.get(m.pattern.o, m.branches[0].o_kind) != m.branches[0].o_kind:
+                groups[id(m)] = [m]  # one variable for columns of two kinds
+            else:
+                group.append(m)
+        return [g[0] if len(g) == 1 else self._as_one(g) for g in groups.values() if g]
+
+    def _as_one(self, parts: list[Access]) -> Access:
+        total = max(a.branches[0].sizes.edges for a in parts)
+        rows = total
+        for a in parts:
+            rows *= min(1.0, a.rows / max(total, 1.0))
+        values: dict[str, float] = {}
+        for a in parts:
+            for v, n in a.values.items():
+                values[v] = min(values.get(v, n), n, max(rows, 1.0))
+        return Access(parts[0].pattern, parts[0].branches, rows, values, parts)
+
+    def _star(self, parts: list[Access]) -> Relation:
+        first = parts[0].branches[0]
+        df = first.star.base().select(F.expr(first.star.s).alias("s"), *(F.expr(a.branches[0].star.o).alias(f"o{i}") for i, a in enumerate(parts)))
+        slots: dict[str, tuple[str, Kind]] = {}
+        for name, node, kind in (("s", parts[0].pattern.s, first.s_kind), *((f"o{i}", a.pattern.o, a.branches[0].o_kind) for i, a in enumerate(parts))):
+            if isinstance(node, Term):
+                df = df.filter(F.col(name) == F.lit(kind.key(node.text)))
+                continue
+            df = df.filter(F.col(name).isNotNull())
+            if node.name in slots:
+                df = df.filter(F.col(name) == F.col(slots[node.name][0]))
+            else:
+                slots[node.name] = name, kind
+        df = df.select(*(F.col(c).alias(self.column(v)) for v, (c, _) in slots.items()))
+        return Relation(df, {self.column(v): k for v, (_, k) in slots.items()})
+
     def _closed(self, order: list[Access]) -> Relation:
         """A cycle: joins up to the variable that closes it, which comes from the intersection
         of the lists of its two neighbours."""

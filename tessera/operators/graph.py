@@ -20,6 +20,17 @@ class Sizes:
     objects: float
 
 
+@dataclass(frozen=True)
+class Star:
+    """Where edges are columns of one table that has each subject once: patterns around a subject
+    then need one scan, not a join for each. ``table`` tells tables apart."""
+
+    table: str
+    base: Callable[[], DataFrame]
+    s: str
+    o: str
+
+
 @dataclass(frozen=True)
 class Edges:
     """The edges of a predicate between two kinds of nodes: a set of (s, o) keys. The DataFrame
@@ -30,6 +41,7 @@ class Edges:
     o_kind: Kind
     make: Callable[[], DataFrame]
     measure: Callable[[], Sizes]
+    star: Star | None = None
 
     @property
     def df(self) -> DataFrame:

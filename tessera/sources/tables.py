@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.kinds import INTEGER, TEXT, Kind, iri
-from tessera.operators.graph import Edges, Graph, Sizes
+from tessera.operators.graph import Edges, Graph, Sizes, Star
 
 BASE = "http://example.org/"
 ORDER, CUSTOMER, NATION, SUPPLIER, REGION, PART, USER, DOC = (iri(n, BASE) for n in ("order", "customer", "nation", "supplier", "region", "part", "user", "doc"))
@@ -99,7 +99,8 @@ def _column_edges(spark: SparkSession, sf_dir: str, c: Column) -> Edges:
         ends = [rows(spark, sf_dir, e) if isinstance(e, str) else float(e) for e in c.ends]
         return Sizes(n, min(n, ends[0]), min(n, ends[1]))
 
-    return Edges(predicate(c.name), c.s_kind, c.o_kind, make, measure)
+    star = Star(f"{sf_dir}/{c.table}", lambda: _table(spark, sf_dir, c.table), c.s, c.o) if c.key else None
+    return Edges(predicate(c.name), c.s_kind, c.o_kind, make, measure, star)
 
 
 def following(events: DataFrame, event_type: str) -> DataFrame:
