@@ -44,12 +44,14 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ca
     those of the smallest ``cap * size / weight``, so one pass in that order settles it."""
     names = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + [None] * (None in sizes)
     w = {k: weights[i % len(weights)] for i, k in enumerate(names)}
-    left, weight, out = float(sum(sizes.values())), float(sum(w.values())), {}
+    left, weight, level = float(sum(sizes.values())), float(sum(w.values())), 0.0
     for k in sorted(names, key=lambda k: (cap * sizes[k] / w[k], names.index(k))):
-        out[k] = min(cap * sizes[k], left * w[k] / weight)
-        left -= out[k]
+        level = left / weight
+        if level <= cap * sizes[k] / w[k]:
+            break
+        left -= cap * sizes[k]
         weight -= w[k]
-    return out
+    return {k: min(float(cap * sizes[k]), w[k] * level) for k in names}
 
 
 def offset(source: str | None, seed: int) -> float:
@@ -104,7 +106,7 @@ w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS
              row_number() OVER (ORDER BY encode(source) NULLS LAST) AS ord FROM s),
 f AS (SELECT *, coalesce(sum(3 * n) OVER o, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS weight
       FROM w WINDOW o AS (ORDER BY 3 * n / w, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(((SELECT sum(n) FROM s) - filled) / weight)
+l AS (SELECT max(((SELECT sum(n) FROM s) - filled) / weight)
              FILTER (((SELECT sum(n) FROM s) - filled) / weight <= 3 * n / w) AS level FROM f),
 t AS (SELECT source, n, least(3 * n, w * level) AS target,
              ('0x' || left(md5('17|' || coalesce('s' || source, 'n')), 8))::BIGINT / 4294967296.0::DOUBLE AS u

@@ -105,7 +105,7 @@ def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_sup
     n_docs = keyed.count()
     # lines of the texts that hold an entity, with where they start
     per_row = spans.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("start", "end", "kind", "value")).alias("found"))
-    held = keyed.filter(F.col("text").rlike("[0-9@]")).join(broadcast_if_small(stored(per_row, "pii-rows"), 20_000), ["rk1", "rk2"])
+    held = keyed.filter(F.col("text").rlike("[0-9@]")).join(per_row, ["rk1", "rk2"])
     held = held.select("doc_id", "rk1", "rk2", "found", F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("doc"), F.split("text", "\n", -1).alias("lines"))
     lines = held.select("doc_id", "rk1", "rk2", "same", "found", "doc", F.posexplode("lines").alias("no", "line"))
     before = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
