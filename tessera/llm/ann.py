@@ -80,6 +80,18 @@ class Index:
         held = sizes[order].cumsum(axis=1)
         return [o[: max(min(probes, len(o)), int(np.searchsorted(h, least)) + 1)] for o, h in zip(order, held, strict=True)]
 
+    def probes_for(self, x: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+        """How many lists to probe so that this share of the true neighbours is in them, as
+        measured by brute force within the sample ``x``. Neighbours in all data are nearer, and
+        their lists rank no later."""
+        q = x[:: max(1, len(x) // queries)][:queries].astype(np.float32)
+        d = distances(q, x.astype(np.float32))
+        near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]  # itself included
+        at = nearest(x.astype(np.float32), self.coarse)
+        rank = distances(q, self.coarse).argsort(axis=1, kind="stable").argsort(axis=1)
+        ranks = np.sort(np.take_along_axis(rank, at[near], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(recall * len(ranks)))]) + 1
+
     def table(self, q: np.ndarray, at: int) -> np.ndarray:
         """Squared distances from the query's residual in list ``at`` to each code of each subspace."""
         rest = q.astype(np.float32) - self.coarse[at]
@@ -148,11 +160,12 @@ def _score(index: Index, best: int):
     return of
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int | None = None, subspaces: int = 16, rerank: int = 300, train_rows: int = 20_000, cell_rows: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int | None = None, recall: float = 0.98, subspaces: int = 16, rerank: int = 400, train_rows: int = 20_000, cell_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest vectors found for each row of
     ``vectors`` (vec_id, embedding) that ``is_query`` picks, itself left out.
 
-    The driver gathers the sample and one size per list (``lists`` at most 4096).
+    The number of lists to probe is the one that holds ``recall`` of the neighbours in the sample,
+    unless ``probes`` is given. The driver gathers the sample and one size per list (``lists`` at most 4096).
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -168,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None
     lists = max(1, min(4096, lists or round(n**0.5)))
     index = Index.learn(learned, lists, subspaces)
     lists = len(index.coarse)
-    probes = probes or max(32, lists // 4)
+    probes = probes or index.probes_for(learned, k, recall)
     codes = stored(rows.mapInArrow(_encode(index), "list int, vec_id long, code binary"), "ann-codes")
     held = np.zeros(lists, np.int64)
     for r in codes.groupBy("list").count().collect():
