@@ -2,7 +2,7 @@
 
 Protected entities are the values that the patterns find (e-mail addresses, IP addresses, card
 and phone numbers). A term (a lower-cased run of at least ``min_letters`` letters) that stands
-in the same line as an entity may reveal it. Corpus co-occurrence says how strongly: with N
+in the same line as an entity (the same 2,000 characters of a longer line) may reveal it. Corpus co-occurrence says how strongly: with N
 documents, C(e) of them with the entity, C(t) with the term and C(t, e) with both in one line,
 
     information of e      I(e)   = log2(N / C(e))
@@ -46,6 +46,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _WORDS = r"\p{L}+"
+#: A line, or a part of one that is longer: what stands together there is a context.
+_CONTEXT = r"[^\n]{0,2000}\n|[^\n]{1,2000}"
 
 
 def _digits(match: Column) -> Column:
@@ -106,11 +108,11 @@ def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_sup
     # lines of the texts that hold an entity, with where they start
     per_row = spans.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("start", "end", "kind", "value")).alias("found"))
     held = keyed.filter(F.col("text").rlike("[0-9@]")).join(per_row, ["rk1", "rk2"])
-    held = held.select("doc_id", "rk1", "rk2", "found", F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("doc"), F.split("text", "\n", -1).alias("lines"))
+    held = held.select("doc_id", "rk1", "rk2", "found", F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("doc"), F.regexp_extract_all("text", F.lit(_CONTEXT), 0).alias("lines"))
     lines = held.select("doc_id", "rk1", "rk2", "same", "found", "doc", F.posexplode("lines").alias("no", "line"))
     before = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-    inside = F.filter("found", lambda f: (f["start"] >= F.col("offset")) & (f["start"] < F.col("offset") + F.length("line") + 1))
+    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
+    inside = F.filter("found", lambda f: (f["start"] >= F.col("offset")) & (f["start"] < F.col("offset") + F.length("line")))
     lines = lines.withColumn("found", inside).filter("size(found) > 0")
     lines = lines.withColumn("uid", F.monotonically_increasing_id())
     words = _located(lines.drop("no"), "line", _WORDS).filter(F.length("value") >= min_letters)
