@@ -97,5 +97,4 @@ def unpacked(values: pa.Array) -> Iterator[bytes | None]:
 
 def size_in_words(text: Column) -> Column:
     """Number of words (null: 0)."""
-    trimmed = F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}\z", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_GAP, -1))).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, WORD_GAP, -1), "")), F.lit(0)).cast("long")

@@ -35,7 +35,8 @@ def size_class(size: Column) -> Column:
     """Position of the top bit and the three bits after it, in integers."""
     bits = F.length(F.bin(size))
     top = F.when(bits > 4, F.expr("shiftright(`__size`, length(bin(`__size`)) - 4)")).otherwise(F.expr("shiftleft(`__size`, 4 - length(bin(`__size`)))"))
-    return F.when(size == 0, F.lit(-1)).otherwise((bits - 1) * 8 + top.cast("int") % 8).cast("int")
+    # never null, as the optimiser sees: a join on it adds no filter that counts words once more
+    return F.coalesce(F.when(size == 0, F.lit(-1)).otherwise((bits - 1) * 8 + top.cast("int") % 8).cast("int"), F.lit(-1))
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_REPEAT) -> dict[str | None, float]:

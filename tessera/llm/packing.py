@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
     """One row per piece: where it starts in its document, its bin (``shard``, ``bin``), where it
     starts there, and the length that the bin was downsized to. Only ids and sizes are shuffled."""
     capacities = tuple(sorted(capacities))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie")).filter("size > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)).cast("int"))
