@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 # Similar documents ----------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, the bits of a table's code, and the smallest hashes kept.
-WIDE, CODE, LEAST = 6, 24, 8
+#: 64-bit words of a wide fingerprint, minimum hashes, tables beside each, bits of a table's code.
+WIDE, MINIMA, TABLES, CODE = 6, 4, 4, 16
 _MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -221,8 +221,24 @@ def wide_fingerprint(text: bytes | None, width: int = 5) -> tuple[np.ndarray, np
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64)[:, 0], h
 
 
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of several orders of them."""
+    if not len(h):
+        return np.zeros(MINIMA, np.uint64)
+    return np.array([_scatter(h + mix, mix).min() for mix in _MIXES[:MINIMA]], np.uint64)
+
+
+def _scatter(x: np.ndarray, mix: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * mix
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(32))
+
+
+_WORDS, _MINIMA = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(MINIMA)]
+
+
 def _wide(width: int):
-    names = ["doc_id", "rk1", "rk2", "sid", *(f"f{i}" for i in range(WIDE)), "least"]
+    names = ["doc_id", "rk1", "rk2", "sid", *_WORDS, *_MINIMA]
 
     def of(batches):
         for batch in batches:
@@ -232,30 +248,44 @@ def _wide(width: int):
                 x = xxhash.xxh3_64_intdigest(h.tobytes())
                 sid.append(x - (1 << 64) if x >> 63 else x)
                 codes.append(code.view(np.int64))
-                least.append(h[:LEAST].view(np.int64))
-            codes = np.array(codes, np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:3]), pa.array(sid, pa.int64()), *(pa.array(codes[:, i]) for i in range(WIDE)), pa.array(least, pa.list_(pa.int64()))], names)
+                least.append(minima(h).view(np.int64))
+            codes, least = np.array(codes, np.int64).reshape(-1, WIDE), np.array(least, np.int64).reshape(-1, MINIMA)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:3]), pa.array(sid, pa.int64()), *(pa.array(np.ascontiguousarray(x[:, i])) for x in (codes, least) for i in range(x.shape[1]))], names)
 
     return of
 
 
 def table_codes(wide: np.ndarray) -> np.ndarray:
-    """16 codes of 24 bits of each wide fingerprint: rows of six words to rows of codes."""
-    raw = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), WIDE * 64 // CODE, CODE // 8).astype(np.uint32)
-    return raw[:, :, 0] | raw[:, :, 1] << 8 | raw[:, :, 2] << 16
+    """16 codes of 16 bits of each wide fingerprint, from bits of their own."""
+    return np.ascontiguousarray(wide).view(np.uint16).reshape(len(wide), -1)[:, : MINIMA * TABLES].astype(np.int64)
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names], axis=1) if batch.num_rows else np.empty((0, len(names)), np.int64)
 
 
 def _emit_codes(batches):
+    """(bucket, code, sid): the code of each table beside each shared minimum; ``shared`` has a
+    bit for each. A bucket is a minimum and a table."""
+    table = np.arange(MINIMA * TABLES)
+    for batch in batches:
+        wide, least = _columns(batch, _WORDS), _columns(batch, _MINIMA).view(np.uint64)
+        codes, sid = table_codes(wide), batch["sid"].to_numpy(zero_copy_only=False)
+        shared = batch["shared"].to_numpy(zero_copy_only=False)
+        bucket = _scatter(least[:, table // TABLES] + (table + 1).astype(np.uint64) * _MIXES[4], _MIXES[5]).view(np.int64)
+        on = (shared[:, None] >> (table // TABLES)[None, :] & 1).astype(bool)
+        yield pa.RecordBatch.from_pydict({"bucket": bucket[on], "code": codes[on].astype(np.int32), "sid": np.repeat(sid, on.sum(axis=1))})
+
+
+def _emit_balls(batches):
     """Each code with each of its bits flipped and with none: codes 2 bits apart meet."""
-    flips = np.concatenate([[0], 1 << np.arange(CODE)]).astype(np.uint32)
+    flips = np.concatenate([[0], 1 << np.arange(CODE)]).astype(np.uint64)
     for batch in batches:
-        wide = np.stack([batch[f"f{i}"].to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1) if batch.num_rows else np.empty((0, WIDE), np.int64)
-        sid = batch["sid"].to_numpy(zero_copy_only=False)
-        for at in range(0, len(wide), 512):
-            codes = table_codes(wide[at : at + 512])
-            keys = (codes[:, :, None] ^ flips[None, None, :]).astype(np.int64) | np.arange(codes.shape[1], dtype=np.int64)[None, :, None] << CODE
-            each = keys.shape[1] * keys.shape[2]
-            yield pa.RecordBatch.from_pydict({"key": keys.ravel(), "sid": np.repeat(sid[at : at + 512], each)})
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            bucket, code, sid = (part[c].to_numpy(zero_copy_only=False) for c in ("bucket", "code", "lo"))
+            keys = _scatter(bucket.view(np.uint64)[:, None] + (code.astype(np.uint64)[:, None] ^ flips[None, :]) * _MIXES[0], _MIXES[1])
+            yield pa.RecordBatch.from_pydict({"key": keys.ravel().view(np.int64), "sid": np.repeat(sid, len(flips))})
 
 
 def _shingle_sets(width: int):
@@ -288,36 +318,40 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
-    384 bits are too many to hash balls of, so they are cut into 16 codes of 24. In each code,
-    balls of 1 bit are emitted; documents 2 bits apart or less in any code meet, and each is
-    compared with the first and the last that it meets there: by the distance of all 384 bits,
-    then by the shingle sets themselves. At 0.8 a pair meets in 99 of 100 cases.
-
-    Only documents that share one of their 8 least shingle hashes with another emit balls: of two
-    that are alike with 0.8, fewer than one in 100,000 share none.
+    Documents of that likeness are some 58 of 384 SimHash bits apart, too far for balls, so the
+    bits are cut into 16 codes of 16, four beside each of four minimum hashes of the shingles:
+    balls are hashed among documents with the same minimum, where chance does not fill them.
+    Documents with equal codes meet in the first of them; that one emits the ball of 1 bit, so
+    codes 2 bits apart meet too. Who meets is compared by all 384 bits, then by the shingle sets
+    themselves. At 0.8 a pair meets in 99.7 of 100 cases, if it were on its own; in a group, each
+    is compared with the first that it meets in each code.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
-    words = [f"f{i}" for i in range(WIDE)]
-    schema = "doc_id long, rk1 long, rk2 long, sid long, " + ", ".join(f"{w} long" for w in words) + ", least array<long>"
+    schema = "doc_id long, rk1 long, rk2 long, sid long, " + ", ".join(f"{w} long" for w in [*_WORDS, *_MINIMA])
     fps = stored(rows.mapInArrow(_wide(width), schema), "similar-fps")
-    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), *(F.min(w).alias(w) for w in words), F.min("least").alias("least")), "similar-nodes")
-    each = nodes.select("sid", F.explode("least").alias("h"))
-    shared = stored(each.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("h"), "similar-hashes")
-    alive = stored(nodes.select("sid", "label", *words).join(each.join(shared, "h", "left_semi").select("sid").distinct(), "sid", "left_semi"), "similar-alive")
-    emitted = spread(alive, "sid").mapInArrow(_emit_codes, "key long, sid long")
-    ends = stored(emitted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi"), "similar-ends")
-    met = emitted.join(ends, "key").select(F.explode(F.array(F.struct(F.least("sid", "lo").alias("a"), F.greatest("sid", "lo").alias("b")), F.struct(F.least("sid", "hi").alias("a"), F.greatest("sid", "hi").alias("b")))).alias("x"))
-    met = met.select("x.a", "x.b").filter("a != b").distinct()
-    side = lambda n: alive.select(F.col("sid").alias(n), *(F.col(w).alias(f"{n}{i}") for i, w in enumerate(words)))
+    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), *(F.min(w).alias(w) for w in [*_WORDS, *_MINIMA])), "similar-nodes")
+    each = nodes.select("sid", F.posexplode(F.array(*_MINIMA)).alias("at", "m"))
+    shared = stored(each.groupBy("at", "m").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("at", "m"), "similar-minima")
+    marks = each.join(shared, ["at", "m"], "left_semi").groupBy("sid").agg(F.expr("bit_or(shiftleft(1, at))").alias("shared"))
+    alive = stored(nodes.join(marks, "sid"), "similar-alive")
+    emitted = spread(alive, "sid").mapInArrow(_emit_codes, "bucket long, code int, sid long")
+    codes = stored(emitted.groupBy("bucket", "code").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")), "similar-codes")
+    equal = emitted.join(codes.filter("lo != hi"), ["bucket", "code"]).filter("sid != lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"))
+    several = stored(codes.groupBy("bucket").agg(F.min("code").alias("least"), F.max("code").alias("most")).filter("least != most").select("bucket"), "similar-buckets")
+    balls = spread(codes.join(several, "bucket", "left_semi").select("bucket", "code", "lo"), "bucket", "code").mapInArrow(_emit_balls, "key long, sid long")
+    centres = stored(balls.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("hi")).filter("c != hi").select("key", "c"), "similar-centres")
+    close = balls.join(centres, "key").filter("sid != c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
+    met = stored(equal.union(close).distinct(), "similar-met")
+    side = lambda n: alive.select(F.col("sid").alias(n), *(F.col(w).alias(f"{n}{i}") for i, w in enumerate(_WORDS)))
     away = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WIDE))
     # about three deviations above the distance of a pair that is just alike enough
     most = round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 20
-    close = stored(met.join(side("a"), "a").join(side("b"), "b").filter(away <= most).select("a", "b"), "similar-close")
-    asked = alive.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(close.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    near = stored(met.join(side("a"), "a").join(side("b"), "b").filter(away <= most).select("a", "b"), "similar-near")
+    asked = alive.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
     sets = packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).mapInArrow(_shingle_sets(width), "sid long, set binary").dropDuplicates(["sid"])
     sets = stored(sets, "similar-sets")
-    pairs = close.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("other")), "b")
+    pairs = near.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("other")), "b")
     links = pairs.select("a", "b", "set", "other").mapInArrow(_alike(similarity), "a long, b long")
     found = components(nodes.select(F.col("sid").alias("fp"), "label"), links).withColumnRenamed("fp", "sid")
     ids = nodes.select("sid", "label").join(found.withColumnRenamed("label", "first"), "sid", "left").select("sid", F.coalesce("first", "label").alias("label"))
