@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import broadcast_if_small, stored
+from tessera.llm.common import packed, stored, unpacked
 
 _LAST = (1 << 63) - 1
 _h = xxhash.xxh3_64_intdigest
@@ -108,8 +109,8 @@ def _fetch(batches):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.int32()), ("d", pa.int64()), ("rk", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
     for batch in batches:
         rows = []
-        for d, rk, text, wanted in zip(batch["d"].to_pylist(), batch["rk"].to_pylist(), batch["text"], batch["wanted"].to_pylist(), strict=True):
-            lines = (text.as_py() or b"").split(b"\n")
+        for d, rk, text, wanted in zip(batch["d"].to_pylist(), batch["rk"].to_pylist(), unpacked(batch["text"]), batch["wanted"].to_pylist(), strict=True):
+            lines = (text or b"").split(b"\n")
             rows += [(w["h1"], w["h2"], w["halves"], d, rk, w["line"], b" ".join(lines[w["line"]].split())) for w in wanted]
         yield _batch(schema, rows)
 
@@ -138,9 +139,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(doc_id, text).alias("rk"), text.cast("binary").alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5, broadcast_rows: int = 300_000) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(d, rk, gone): the line numbers to remove of each row that loses any, where d is doc_id
-    (null: the largest long) and rk a hash of the row."""
+    (null: the largest long) and rk a hash of the row.
+
+    All joins here grow with the input on both sides, and shuffle."""
     keyed = _keyed(docs)
     lines = stored(keyed.mapInArrow(_scan(min_words), _SCAN), "lines")
     keys = ["k0", "k1", "k2", "k3"]
@@ -149,22 +152,19 @@ def removed_lines(docs: DataFrame, min_words: int = 5, broadcast_rows: int = 300
     classes = stored(classes, "lines-classes")
     # a line is alone in a key if the least and the greatest line there are the same
     each = classes.select("h1", F.explode(F.array(*keys)).alias("k"))
-    shared = each.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("k")
-    shared = broadcast_if_small(stored(shared, "lines-halves"), broadcast_rows)
-    tagged = classes.select("h1", "h2", "first", F.posexplode(F.array(*keys)).alias("at", "k")).join(shared, "k", "left_semi")
-    alive = tagged.groupBy("h1", "h2", "first").agg(F.expr("bit_or(shiftleft(1, at))").alias("halves"))
+    shared = stored(each.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("k"), "lines-halves")
+    tagged = classes.select("h1", "h2", F.posexplode(F.array(*keys)).alias("at", "k")).join(shared, "k", "left_semi")
+    alive = tagged.groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1, at))").alias("halves")).join(classes.select("h1", "h2", "first"), ["h1", "h2"])
     asked = alive.groupBy(F.col("first.d").alias("d"), F.col("first.rk").alias("rk")).agg(F.collect_list(F.struct("h1", "h2", "halves", F.col("first.line").alias("line"))).alias("wanted"))
-    asked = broadcast_if_small(stored(asked, "lines-asked"), broadcast_rows)
     # rows that repeat would answer twice
-    held = keyed.join(asked, ["d", "rk"]).mapInArrow(_fetch, "h1 long, h2 long, halves int, d long, rk long, line int, words binary").dropDuplicates(["h1", "h2"])
+    held = packed(keyed).join(asked, ["d", "rk"]).mapInArrow(_fetch, "h1 long, h2 long, halves int, d long, rk long, line int, words binary").dropDuplicates(["h1", "h2"])
     held = stored(held, "lines-held")
     emitted = held.mapInArrow(_variants, "key long, role byte, d long, rk long, line int, h1 long, h2 long").withColumn("place", F.struct("d", "rk", "line", "h1", "h2")).select("key", "role", "place")
     # per key: the earliest line of each role. A gap with its place answers to another such gap,
     # a gap without to the line itself, and that line to the earliest such gap.
     best = lambda role: F.min(F.when(F.col("role") == role, F.col("place"))).alias(f"r{role}")
     first = emitted.groupBy("key").agg(best(0), best(1), best(2), F.count("*").alias("n")).filter("n > 1 AND (r0 IS NOT NULL OR (r1 IS NOT NULL AND r2 IS NOT NULL))").drop("n")
-    first = broadcast_if_small(stored(first, "lines-first"), broadcast_rows)
-    met = emitted.join(first, "key").withColumn("other", F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1")))
+    met = emitted.join(stored(first, "lines-first"), "key").withColumn("other", F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1")))
     pairs = met.filter("other < place").groupBy("place.h1", "place.h2").agg(F.min("other").alias("other"))
     words = held.select("h1", "h2", "words")
     pairs = pairs.join(words, ["h1", "h2"]).select("h1", "h2", "words", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
@@ -173,24 +173,34 @@ def removed_lines(docs: DataFrame, min_words: int = 5, broadcast_rows: int = 300
     near_ones = stored(near_ones, "lines-near").withColumn("near", F.lit(True))
     # of a class: all but the first occurrence go, and the first too if it is near an earlier line
     fate = classes.select("h1", "h2", "first", "n").join(near_ones, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    fate = broadcast_if_small(stored(fate, "lines-fate"), broadcast_rows)
-    gone = lines.select("d", "rk", "line", "h1", "h2").join(fate, ["h1", "h2"]).filter(F.col("near") | (F.struct("d", "rk", "line") != F.col("first")))
+    gone = lines.select("d", "rk", "line", "h1", "h2").join(stored(fate, "lines-fate"), ["h1", "h2"]).filter(F.col("near") | (F.struct("d", "rk", "line") != F.col("first")))
     return gone.groupBy("d", "rk").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, broadcast_rows: int = 300_000) -> DataFrame:
-    """``docs`` without near-duplicate lines, and ``__n_lines, __n_removed`` beside its columns."""
-    gone = stored(removed_lines(docs, min_words, broadcast_rows), "lines-gone")
-    gone = broadcast_if_small(gone, broadcast_rows).select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), F.col("gone").alias("__gone"))
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rows = docs.withColumn("__d", F.coalesce(doc_id, F.lit(_LAST))).withColumn("__rk", F.xxhash64(doc_id, text))
-    rows = rows.join(gone, ["__d", "__rk"], "left")
-    lines = F.split("text", "\n", -1)
-    rows = rows.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+def _rebuild(columns: list[str]):
+    def of(batches):
+        for batch in batches:
+            texts, total, lost = [], [], []
+            for text, gone in zip(unpacked(batch["text"]), batch["__gone"].to_pylist(), strict=True):
+                lines = [] if text is None else text.split(b"\n")
+                if gone:
+                    out = set(gone)
+                    text = b"\n".join(x for i, x in enumerate(lines) if i not in out)
+                texts.append(None if text is None else text.decode())
+                total.append(len(lines))
+                lost.append(len(gone or ()))
+            own = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*columns, "__n_lines", "__n_removed"])
+
+    return of
 
-    def kept(x):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
-        return F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")
 
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), kept)[0]))
-    return rows.select(*docs.columns, "__n_lines", "__n_removed")
+def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """``docs`` without near-duplicate lines, and ``__n_lines, __n_removed`` beside its columns."""
+    gone = removed_lines(docs, min_words).select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), F.col("gone").alias("__gone"))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumn("__d", F.coalesce(doc_id, F.lit(_LAST))).withColumn("__rk", F.xxhash64(doc_id, "text"))
+    rows = packed(rows).join(gone, ["__d", "__rk"], "left").select(*docs.columns, "__gone")
+    schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_removed", LongType())])
+    return rows.mapInArrow(_rebuild(docs.columns), schema)
