@@ -194,10 +194,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 # Similar documents ----------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, minimum hashes, tables beside each, bits of a table's code.
-WIDE, MINIMA, TABLES, CODE = 6, 4, 4, 20
-_MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
-
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     """Hashes of the set of shingles, in rising order."""
@@ -208,100 +204,45 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
 
 
-def wide_fingerprint(text: bytes | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """384 SimHash bits of the set of shingles, and the set's hashes in rising order."""
-    h = shingle_set(text, width)
-    ones = np.zeros((WIDE, 64), np.int64)
-    for at in range(0, len(h), _BLOCK):
-        for w, mix in enumerate(_MIXES):
-            x = (h[at : at + _BLOCK] ^ mix) * mix
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-            x ^= x >> np.uint64(28)
-            ones[w] += np.unpackbits(x[:, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64)[:, 0], h
-
-
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least of the hashes in each of several orders of them."""
-    if not len(h):
-        return np.zeros(MINIMA, np.uint64)
-    return np.array([_scatter(h + mix, mix).min() for mix in _MIXES[:MINIMA]], np.uint64)
-
+def prefix_length(n: int, similarity: float) -> int:
+    """Of sets in one order of all hashes, two that are alike share one of their first so many."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-def _scatter(x: np.ndarray, mix: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * mix
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
-_WORDS, _MINIMA = [f"f{i}" for i in range(WIDE)], [f"m{i}" for i in range(MINIMA)]
 
-
-def _wide(width: int):
-    names = ["doc_id", "rk1", "rk2", "sid", *_WORDS, *_MINIMA]
+def _prefixes(width: int, similarity: float):
+    names = ["doc_id", "rk1", "rk2"]
 
     def of(batches):
         for batch in batches:
-            sid, codes, least = [], [], []
+            sid, prefix = [], []
             for text in batch["text"]:
-                code, h = wide_fingerprint(text.as_py(), width)
+                h = shingle_set(text.as_py(), width)
                 x = xxhash.xxh3_64_intdigest(h.tobytes())
                 sid.append(x - (1 << 64) if x >> 63 else x)
-                codes.append(code.view(np.int64))
-                least.append(minima(h).view(np.int64))
-            codes, least = np.array(codes, np.int64).reshape(-1, WIDE), np.array(least, np.int64).reshape(-1, MINIMA)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:3]), pa.array(sid, pa.int64()), *(pa.array(np.ascontiguousarray(x[:, i])) for x in (codes, least) for i in range(x.shape[1]))], names)
+                prefix.append(h[: prefix_length(len(h), similarity)])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sid, pa.int64()), _lists(prefix)], [*names, "sid", "prefix"])
 
     return of
 
 
-def table_codes(wide: np.ndarray) -> np.ndarray:
-    """16 codes of 20 bits of each wide fingerprint, each from three bytes of its own."""
-    raw = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), MINIMA * TABLES, 3).astype(np.int64)
-    return raw[:, :, 0] | raw[:, :, 1] << 8 | (raw[:, :, 2] & 15) << 16
-
-
-def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names], axis=1) if batch.num_rows else np.empty((0, len(names)), np.int64)
-
-
-def _emit_codes(batches):
-    """(bucket, code, sid): the code of each table beside each shared minimum; ``shared`` has a
-    bit for each. A bucket is a minimum and a table."""
-    table = np.arange(MINIMA * TABLES)
-    for batch in batches:
-        wide, least = _columns(batch, _WORDS), _columns(batch, _MINIMA).view(np.uint64)
-        codes, sid = table_codes(wide), batch["sid"].to_numpy(zero_copy_only=False)
-        shared = batch["shared"].to_numpy(zero_copy_only=False)
-        bucket = _scatter(least[:, table // TABLES] + (table + 1).astype(np.uint64) * _MIXES[4], _MIXES[5]).view(np.int64)
-        on = (shared[:, None] >> (table // TABLES)[None, :] & 1).astype(bool)
-        yield pa.RecordBatch.from_pydict({"bucket": bucket[on], "code": codes[on].astype(np.int32), "sid": np.repeat(sid, on.sum(axis=1))})
-
-
-def _emit_balls(batches):
-    """Each code with each of its bits flipped and with none: codes 2 bits apart meet."""
-    flips = np.concatenate([[0], 1 << np.arange(CODE)]).astype(np.uint64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            bucket, code, sid = (part[c].to_numpy(zero_copy_only=False) for c in ("bucket", "code", "lo"))
-            keys = _scatter(bucket.view(np.uint64)[:, None] + (code.astype(np.uint64)[:, None] ^ flips[None, :]) * _MIXES[0], _MIXES[1])
-            yield pa.RecordBatch.from_pydict({"key": keys.ravel().view(np.int64), "sid": np.repeat(sid, len(flips))})
-
-
 def _shingle_sets(width: int):
-    """The set of each text, as its sorted hashes."""
+    """The set of each text, as its hashes."""
 
     def of(batches):
         for batch in batches:
-            sets = [shingle_set(x, width).tobytes() for x in unpacked(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sets, pa.binary())], ["sid", "set"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part["sid"], _lists([shingle_set(x, width) for x in unpacked(part["text"])])], ["sid", "set"])
 
     return of
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
@@ -309,51 +250,67 @@ def jaccard(a: bytes, b: bytes) -> float:
 def _alike(similarity: float):
     def of(batches):
         for batch in batches:
-            ok = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch["set"], batch["other"], strict=True)]
+            ok = [jaccard(*(x.values.to_numpy(zero_copy_only=False) for x in both)) >= similarity for both in zip(batch["set"], batch["other"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return of
 
 
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of ``n`` hashes whose first common one is the ``at``-th may be alike."""
+    na, nb, left_a, left_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (F.least(left_a, left_b) >= similarity / (1 + similarity) * (na + nb) - 1e-9)
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
-    Documents of that likeness are some 58 of 384 SimHash bits apart, too far for balls, so the
-    bits are cut into 16 codes of 20, four beside each of four minimum hashes of the shingles:
-    balls are hashed among documents with the same minimum, where chance does not fill them.
-    Documents with equal codes meet in the first of them; that one emits the ball of 1 bit, so
-    codes 2 bits apart meet too. Who meets is compared by all 384 bits, then by the shingle sets
-    themselves. At 0.8 a pair meets in 99 of 100 cases, if it were on its own; in a group, each
-    is compared with the first that it meets in each code.
+    Exact, by prefixes: whatever the order of all shingles, two sets that are alike share one of
+    their first few. First the order of the hashes tells who shares any; the others are done.
+    Among these, prefixes are taken anew with rare shingles first, so that what a template has in
+    common comes last, and sets meet in the shingles of their prefixes.
+
+    Of those that meet in a shingle, each is compared with the least, and components are found;
+    then all that meet and are not yet in one component are compared with each other. Copies and
+    near copies thus form a star, and no link between components is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, rk1 long, rk2 long, sid long, " + ", ".join(f"{w} long" for w in [*_WORDS, *_MINIMA])
-    fps = stored(rows.mapInArrow(_wide(width), schema), "similar-fps")
-    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), *(F.min(w).alias(w) for w in [*_WORDS, *_MINIMA])), "similar-nodes")
-    each = nodes.select("sid", F.posexplode(F.array(*_MINIMA)).alias("at", "m"))
-    shared = stored(each.groupBy("at", "m").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("at", "m"), "similar-minima")
-    marks = each.join(shared, ["at", "m"], "left_semi").groupBy("sid").agg(F.expr("bit_or(shiftleft(1, at))").alias("shared"))
-    alive = stored(nodes.join(marks, "sid"), "similar-alive")
-    emitted = spread(alive, "sid").mapInArrow(_emit_codes, "bucket long, code int, sid long")
-    codes = stored(emitted.groupBy("bucket", "code").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")), "similar-codes")
-    equal = emitted.join(codes.filter("lo != hi"), ["bucket", "code"]).filter("sid != lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"))
-    several = stored(codes.groupBy("bucket").agg(F.min("code").alias("least"), F.max("code").alias("most")).filter("least != most").select("bucket"), "similar-buckets")
-    balls = spread(codes.join(several, "bucket", "left_semi").select("bucket", "code", "lo"), "bucket", "code").mapInArrow(_emit_balls, "key long, sid long")
-    centres = stored(balls.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("hi")).filter("c != hi").select("key", "c"), "similar-centres")
-    close = balls.join(centres, "key").filter("sid != c").select(F.col("c").alias("a"), F.col("sid").alias("b"))
-    met = stored(equal.union(close).distinct(), "similar-met")
-    side = lambda n: alive.select(F.col("sid").alias(n), *(F.col(w).alias(f"{n}{i}") for i, w in enumerate(_WORDS)))
-    away = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WIDE))
-    # about three deviations above the distance of a pair that is just alike enough
-    most = round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 20
-    near = stored(met.join(side("a"), "a").join(side("b"), "b").filter(away <= most).select("a", "b"), "similar-near")
-    asked = alive.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
-    sets = packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).mapInArrow(_shingle_sets(width), "sid long, set binary").dropDuplicates(["sid"])
-    sets = stored(sets, "similar-sets")
-    pairs = near.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("other")), "b")
-    links = pairs.select("a", "b", "set", "other").mapInArrow(_alike(similarity), "a long, b long")
+    fps = stored(rows.mapInArrow(_prefixes(width, similarity), "doc_id long, rk1 long, rk2 long, sid long, prefix array<long>"), "similar-fps")
+    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("prefix").alias("prefix")), "similar-nodes")
+    each = nodes.select("sid", F.explode("prefix").alias("k"))
+    shared = stored(each.groupBy("k").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("k"), "similar-shared")
+    alive = each.join(shared, "k", "left_semi").select("sid").distinct()
+    asked = nodes.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(alive, "sid", "left_semi")
+    sets = packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).dropDuplicates(["sid"]).select("sid", "text")
+    sets = stored(sets.mapInArrow(_shingle_sets(width), "sid long, set array<long>"), "similar-sets")
+    tokens = sets.select("sid", F.size("set").alias("n"), F.explode("set").alias("k"))
+    often = stored(tokens.groupBy("k").agg(F.count("*").alias("often")).filter("often > 1"), "similar-often")
+    # shingles of one set only come first, and nobody is met there
+    known = tokens.join(often, "k").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("known"))
+    own = F.col("n") - F.size("known")
+    first = F.greatest(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own, F.lit(0)).cast("int")
+    members = known.select("sid", "n", own.alias("own"), F.posexplode(F.slice("known", F.lit(1), first)).alias("at", "t"))
+    members = stored(members.select(F.col("t.k").alias("k"), F.struct("sid", "n", (F.col("own") + F.col("at")).alias("at")).alias("x")), "similar-members")
+    centres = members.groupBy("k").agg(F.min("x").alias("c"), F.max("x.sid").alias("hi")).filter("c.sid != hi").select("k", "c")
+    star = members.join(stored(centres, "similar-centres"), "k").filter("x.sid != c.sid").filter(_possible("c", "x", similarity))
+    star = stored(star.select(F.col("c.sid").alias("a"), F.col("x.sid").alias("b")).distinct(), "similar-star")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("other")), "b")
+        return stored(pairs.select("a", "b", "set", "other").mapInArrow(_alike(similarity), "a long, b long"), "similar-links")
+
+    links = verified(star)
+    grouped = components(sets.select(F.col("sid").alias("fp"), F.col("sid").alias("label")), links).select(F.col("fp").alias("sid"), F.col("label").alias("group"))
+    apart = members.select("k", "x", F.col("x.sid").alias("sid")).join(grouped, "sid", "left").select("k", "x", F.coalesce("group", "sid").alias("group"))
+    apart = stored(apart, "similar-apart")
+    several = apart.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("k")
+    apart = apart.join(stored(several, "similar-several"), "k", "left_semi")
+    a, b = (apart.select("k", F.col("x").alias(n), F.col("group").alias(f"{n}_group")) for n in "ab")
+    rest = a.join(b, "k").filter("a_group < b_group").filter(_possible("a", "b", similarity))
+    rest = rest.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    links = links.union(verified(stored(rest, "similar-rest")))
     found = components(nodes.select(F.col("sid").alias("fp"), "label"), links).withColumnRenamed("fp", "sid")
     ids = nodes.select("sid", "label").join(found.withColumnRenamed("label", "first"), "sid", "left").select("sid", F.coalesce("first", "label").alias("label"))
     return fps.select("doc_id", "rk1", "rk2", "sid").join(stored(ids, "similar-ids"), "sid")

@@ -367,6 +367,41 @@ def test_similar_documents(spark):
     assert got[300] == got[301] == got[0] and got[303] == 302 and got[305] == 304
 
 
+def linked_pairs(spark, docs):
+    """Pairs alike with 0.8 or more by brute force, and those that got one label; no one else may."""
+    got = {r.doc_id: r.label.doc_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {d: shingles(t) for d, t in docs}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    assert got == {d: find(d) for d in sets}
+    return near
+
+
+def test_similar_in_template(spark):
+    """A group that shares most of its text, and pairs in it that are over 0.8 alike."""
+    rng = random.Random(22)
+    template, docs = sentence(rng, 160), []
+    for i in range(120):
+        own = [word(rng) + str(i) for _ in range(40)]
+        docs.append((2 * i, f"{template} {' '.join(own)}"))
+        if i < 60:
+            docs.append((2 * i + 1, f"{template} {' '.join(own[:28])} {' '.join(w + 'x' for w in own[28:])}"))
+    base = sentence(rng, 100).split()
+    for i in range(80):  # near copies of one text, each its own way
+        at = rng.randrange(100)
+        docs.append((1000 + i, " ".join([*base[:at], f"new{i}", *base[at + 1 :]])))
+    assert len(linked_pairs(spark, docs)) > 60
+
+
 def test_simhash_keep_one(frame, docs):
     kept = simhash.keep_one(frame)
     assert kept.columns == frame.columns
