@@ -402,6 +402,15 @@ def test_similar_in_template(spark):
     assert len(linked_pairs(spark, docs)) > 60
 
 
+def test_similar_short_texts(spark):
+    """Pairs of 8 and 9 words, alike with 0.8 exactly: all of them are found."""
+    rng, docs = random.Random(23), []
+    for i in range(200):
+        words = [word(rng) + str(i) for _ in range(9)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    assert len(linked_pairs(spark, docs)) == 200
+
+
 def test_simhash_keep_one(frame, docs):
     kept = simhash.keep_one(frame)
     assert kept.columns == frame.columns
