@@ -10,8 +10,9 @@ documents, C(e) of them with the entity, C(t) with the term and C(t, e) with bot
     disclosed share       PMI / I(e), 1 where t never stands without e
 
 A term is generalised (kind ``term``) where the share reaches ``generalise``, and removed (kind
-``drop``) where it reaches ``remove``; it must stand beside e in ``min_support`` different texts,
-so copies of one text prove nothing. Spans are marked in lines that hold the entity.
+``drop``) where it reaches ``remove``. Every value is rated, however rare; the term must stand
+beside entities of that kind, of any value, in ``min_support`` different texts, so copies of one
+text and words of one text prove nothing. Spans are marked in lines that hold the entity.
 
 Counts cover all documents. Terms are counted by exploding each document's distinct words and
 joining the candidates; only sums per term are shuffled, or, where candidates are many, sums
@@ -121,7 +122,9 @@ def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_sup
     words = words.filter(clear).select("doc_id", "rk1", "rk2", "same", "doc", "term", "start", "end", "found")
     words = stored(words, "pii-words")
     pairs = words.select("rk1", "rk2", "same", "doc", "term", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"))))).alias("e"))
-    both = pairs.groupBy("term", "e").agg(F.countDistinct("same").alias("texts"), F.countDistinct("doc").alias("n_te")).filter(F.col("texts") >= min_support)
+    # support is counted beside entities of a kind: most values stand in one text only
+    supported = pairs.groupBy("term", F.col("e.kind").alias("kind")).agg(F.countDistinct("same").alias("texts")).filter(F.col("texts") >= min_support).select("term", "kind")
+    both = pairs.groupBy("term", "e", F.col("e.kind").alias("kind")).agg(F.countDistinct("doc").alias("n_te")).join(supported, ["term", "kind"], "left_semi").drop("kind")
     both = stored(both, "pii-pairs")
     n_e = spans.groupBy("rk1", "rk2").agg(F.collect_set(F.struct("kind", "value")).alias("es"))
     # rows that repeat count once each: the spans are per row content

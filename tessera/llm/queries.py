@@ -14,7 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read_table(spark, sf_dir, "documents"))
+    # every pair of a term and an entity is rated, those of one text too
+    return pii.report(read_table(spark, sf_dir, "documents"), min_support=1)
 
 
 def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,27 @@ def test_pii_terms(spark):
     assert clean[0] == want and clean[100] == rows[60][1]
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """A term beside addresses that stand in one text each."""
+    rng, secret = random.Random(6), "zanzibarian"
+    rows = [(i, f"{sentence(rng, 9)}\nthe {secret} wrote to agent{i}@spy.example.com today") for i in range(3)]
+    rows += [(10 + i, f"the {sentence(rng, 9)}\ntoday") for i in range(300)]
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:3]:
+        assert f"term:{t.index(secret)}:{t.index(secret) + len(secret)}" in found[i]
+    assert all(found[i] == "" for i, _ in rows[3:])
+
+
+def test_pii_query_rates_every_pair(spark, tmp_path):
+    """op1 marks a term that stands in one text only, beside the one address of it."""
+    rng = random.Random(8)
+    rows = [(0, "the zanzibarian wrote to agent@spy.example.com")] + [(10 + i, f"the wrote {sentence(rng, 9)}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.op1_pii(spark, str(tmp_path)).collect()}
+    assert found[0].spans == "email:25:46,drop:4:15" and found[0].n_terms == 1
+    assert all(found[i].n_terms == 0 for i, _ in rows[1:])
+
+
 def test_pii_empty(empty):
     assert pii.report(empty).count() == 0
 
