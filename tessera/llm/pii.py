@@ -1,21 +1,22 @@
 """Personal data: patterns, and information-theoretic sanitisation around what they find.
 
 Protected entities are the values that the patterns find (e-mail addresses, IP addresses, card
-and phone numbers). A term (a lower-cased run of at least ``min_letters`` letters) that stands
-in the same line as an entity (the same 2,000 characters of a longer line) may reveal it. Corpus co-occurrence says how strongly: with N
-documents, C(e) of them with the entity, C(t) with the term and C(t, e) with both in one line,
+and phone numbers). A term (a lower-cased run of at least ``min_letters`` letters) that stands in
+the same document as an entity may reveal it. Corpus co-occurrence says how strongly: with N
+documents, C(e) of them with the entity, C(t) with the term and C(t, e) with both,
 
     information of e      I(e)   = log2(N / C(e))
     disclosure of e by t  PMI    = log2(N * C(t, e) / (C(t) * C(e)))
     disclosed share       PMI / I(e), 1 where t never stands without e
 
 A term is generalised (kind ``term``) where the share reaches ``generalise``, and removed (kind
-``drop``) where it reaches ``remove``. Every value is rated, however rare; the term must stand
-beside entities of that kind, of any value, in ``min_support`` different texts, so copies of one
-text and words of one text prove nothing. Spans are marked in lines that hold the entity.
+``drop``) where it reaches ``remove``. With a ``min_support`` over 1 it must stand beside e in so
+many different texts, so copies of one text prove nothing; with 1, every pair is rated. Spans are
+marked in the whole document that holds the entity.
 
-Counts cover all documents. Terms are counted by exploding each document's distinct words and
-joining the candidates; only sums per term are shuffled, or, where candidates are many, sums
+Counts cover all documents. A term in more documents than the largest share allows is left out
+before pairs are made. Terms are counted by exploding each document's distinct words and joining
+the candidates; only sums per term are shuffled, or, where candidates are many, sums
 per word.
 
 Positions are code points, from 0, end exclusive. Everything here is DataFrame functions.
@@ -47,8 +48,6 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _WORDS = r"\p{L}+"
-#: A line, or a part of one that is longer: what stands together there is a context.
-_CONTEXT = r"[^\n]{0,2000}\n|[^\n]{1,2000}"
 
 
 def _digits(match: Column) -> Column:
@@ -103,46 +102,51 @@ def base_spans(keyed: DataFrame) -> DataFrame:
     return found.dropDuplicates(["rk1", "rk2", "kind", "start"])
 
 
+def _words(held: DataFrame, min_letters: int) -> DataFrame:
+    """(rk1, rk2, same, term, start, end) of the words that no entity of ``found`` overlaps."""
+    words = _located(held.drop("found").withColumn("uid", F.struct("rk1", "rk2")), "text", _WORDS).filter(F.length("value") >= min_letters)
+    words = words.select("rk1", "rk2", "same", "start", "end", F.lower("value").alias("term"))
+    marks = held.select("rk1", "rk2", "same", F.explode("found").alias("f")).select("rk1", "rk2", "same", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), F.lit(None).cast("string").alias("term"))
+    # an entity that starts with or before a word and ends behind its start, or starts within it
+    row = Window.partitionBy("rk1", "rk2")
+    mark = F.col("term").isNull()
+    upto = F.max(F.when(mark, F.col("end"))).over(row.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(mark, F.col("start"))).over(row.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = words.unionByName(marks).select("*", upto.alias("upto"), after.alias("after"))
+    return both.filter("term IS NOT NULL AND NOT coalesce(upto > start, false) AND NOT coalesce(after < end, false)").drop("upto", "after")
+
+
 def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, broadcast_rows: int = 200_000) -> DataFrame:
-    """(rk1, rk2, kind, start, end) of terms that disclose an entity of their line."""
-    n_docs = keyed.count()
-    # lines of the texts that hold an entity, with where they start
+    """(rk1, rk2, kind, start, end) of terms that disclose an entity of their document."""
+    total = float(max(keyed.count(), 1))
     per_row = spans.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("start", "end", "kind", "value")).alias("found"))
     held = keyed.filter(F.col("text").rlike("[0-9@]")).join(per_row, ["rk1", "rk2"])
-    held = held.select("doc_id", "rk1", "rk2", "found", F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("doc"), F.regexp_extract_all("text", F.lit(_CONTEXT), 0).alias("lines"))
-    lines = held.select("doc_id", "rk1", "rk2", "same", "found", "doc", F.posexplode("lines").alias("no", "line"))
-    before = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
-    inside = F.filter("found", lambda f: (f["start"] >= F.col("offset")) & (f["start"] < F.col("offset") + F.length("line")))
-    lines = lines.withColumn("found", inside).filter("size(found) > 0")
-    lines = lines.withColumn("uid", F.monotonically_increasing_id())
-    words = _located(lines.drop("no"), "line", _WORDS).filter(F.length("value") >= min_letters)
-    words = words.withColumn("start", F.col("start") + F.col("offset")).withColumn("end", F.col("end") + F.col("offset")).withColumn("term", F.lower("value"))
-    clear = ~F.exists("found", lambda f: (f["start"] < F.col("end")) & (f["end"] > F.col("start")))
-    words = words.filter(clear).select("doc_id", "rk1", "rk2", "same", "doc", "term", "start", "end", "found")
-    words = stored(words, "pii-words")
-    pairs = words.select("rk1", "rk2", "same", "doc", "term", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"))))).alias("e"))
-    # support is counted beside entities of a kind: most values stand in one text only
-    supported = pairs.groupBy("term", F.col("e.kind").alias("kind")).agg(F.countDistinct("same").alias("texts")).filter(F.col("texts") >= min_support).select("term", "kind")
-    both = pairs.groupBy("term", "e", F.col("e.kind").alias("kind")).agg(F.countDistinct("doc").alias("n_te")).join(supported, ["term", "kind"], "left_semi").drop("kind")
-    both = stored(both, "pii-pairs")
-    n_e = spans.groupBy("rk1", "rk2").agg(F.collect_set(F.struct("kind", "value")).alias("es"))
-    # rows that repeat count once each: the spans are per row content
-    repeats = keyed.groupBy("rk1", "rk2").agg(F.count("*").alias("rows"))
-    n_e = n_e.join(repeats, ["rk1", "rk2"]).select(F.explode("es").alias("e"), "rows").groupBy("e").agg(F.sum("rows").alias("n_e"))
-    terms = stored(both.select("term").distinct(), "pii-terms")
+    # rows that repeat are one here, and count as many as they are below
+    held = held.select("rk1", "rk2", "found", F.xxhash64("text").alias("same"), "text").dropDuplicates(["rk1", "rk2"])
+    words = stored(_words(held, min_letters), "pii-words")
+    repeats = keyed.select("rk1", "rk2").join(spans.select("rk1", "rk2").distinct(), ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.count("*").alias("rows"))
+    entities = stored(spans.select("rk1", "rk2", F.struct("kind", "value").alias("e")).distinct().join(repeats, ["rk1", "rk2"]), "pii-entities")
+    n_e = stored(entities.groupBy("e").agg(F.sum("rows").alias("n_e")), "pii-n-e")
+    terms = stored(words.select("term").distinct(), "pii-terms")
     vocabulary = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{min_letters},}}"), 0))).alias("term"))
     if terms.count() <= broadcast_rows:
         n_t = vocabulary.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         n_t = vocabulary.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    information = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
+    # C(t, e) is at most C(e): a term in more documents than this cannot reach ``generalise``
+    most = lambda n: F.lit(total) * F.pow(n / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)
+    largest = n_e.agg(F.max("n_e")).first()[0] or 0
+    n_t = stored(n_t.filter(F.col("n_t") <= most(F.lit(float(largest)))), "pii-n-t")
+    rare = words.select("rk1", "rk2", "same", "term").distinct().join(n_t, "term").join(entities.join(n_e, "e"), ["rk1", "rk2"]).filter(F.col("n_t") <= most(F.col("n_e")))
+    rare = stored(rare.select("rk1", "rk2", "same", "term", "e", "rows", "n_t", "n_e"), "pii-pairs")
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
-    rated = both.join(n_e, "e").join(n_t, "term").select("term", "e", share.alias("share")).filter(F.col("share") >= generalise)
-    rated = broadcast_if_small(stored(rated, "pii-rated"), broadcast_rows)
-    hit = words.select("rk1", "rk2", "term", "start", "end", F.explode("found").alias("f")).select("rk1", "rk2", "term", "start", "end", F.struct("f.kind", "f.value").alias("e"))
-    hit = hit.join(rated, ["term", "e"]).groupBy("rk1", "rk2", "start", "end").agg(F.max("share").alias("share"))
+    texts = F.countDistinct("same") if min_support > 1 else F.lit(1)
+    rated = rare.groupBy("term", "e").agg(F.sum("rows").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), texts.alias("texts")).filter(F.col("texts") >= min_support)
+    rated = broadcast_if_small(stored(rated.select("term", "e", share.alias("share")).filter(F.col("share") >= generalise), "pii-rated"), broadcast_rows)
+    told = rare.select("rk1", "rk2", "term", "e").join(rated, ["term", "e"]).groupBy("rk1", "rk2", "term").agg(F.max("share").alias("share"))
+    hit = words.join(told, ["rk1", "rk2", "term"])
     return hit.select("rk1", "rk2", F.when(F.col("share") >= remove, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"), "start", "end")
 
 

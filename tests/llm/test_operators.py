@@ -155,7 +155,7 @@ def test_pii_terms_of_rare_entities(spark):
     rng, secret = random.Random(6), "zanzibarian"
     rows = [(i, f"{sentence(rng, 9)}\nthe {secret} wrote to agent{i}@spy.example.com today") for i in range(3)]
     rows += [(10 + i, f"the {sentence(rng, 9)}\ntoday") for i in range(300)]
-    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), min_support=1).collect()}
     for i, t in rows[:3]:
         assert f"term:{t.index(secret)}:{t.index(secret) + len(secret)}" in found[i]
     assert all(found[i] == "" for i, _ in rows[3:])
@@ -171,6 +171,19 @@ def test_pii_query_rates_every_pair(spark, tmp_path):
     assert all(found[i].n_terms == 0 for i, _ in rows[1:])
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    """The name on the line above its address, and far from it in a long line."""
+    rng, name = random.Random(9), "zanzibarian"
+    far = sentence(rng, 900)
+    rows = [(i, f"dear {name}\nmail agent.9@spy.example.com {i}") for i in range(3)] + [(3, f"mail agent.9@spy.example.com {far} {name}")]
+    rows += [(10 + i, f"dear mail {far} {sentence(rng, 9)}") for i in range(80)]
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:4]:
+        at = t.index(name)
+        assert f"drop:{at}:{at + len(name)}" in found[i]
+    assert all(found[i] == "" for i, _ in rows[4:])
+
+
 def test_pii_empty(empty):
     assert pii.report(empty).count() == 0
 
