@@ -14,7 +14,10 @@ line that shares no half with another line emits nothing, and one that does emit
 with the gap in the other half. Equal lines are one class from the start, so copies never form
 pairs, and keys are only ever aggregated, never paired within.
 
-Defined results: null text stays null; shorter lines stay; rows that repeat in all of doc_id and
+Lines of fewer words, but at least ``equal_words``, are compared too, for equality only; op8 and the
+pipeline compare all that are not blank (1). The default is to leave them.
+
+Defined results: null text stays null; shorter and blank lines stay; rows that repeat in all of doc_id and
 text are treated alike, as one; documents keep their remaining lines in order; a document may end
 up empty; an empty table gives no rows.
 """
@@ -84,7 +87,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def _scan(min_words: int):
+def _scan(min_words: int, equal_words: int):
     schema = pa.schema([("d", pa.int64()), ("rk", pa.int64()), ("line", pa.int32()), *((c, pa.int64()) for c in ("h1", "h2", "k0", "k1", "k2", "k3"))])
 
     def of(batches):
@@ -93,9 +96,10 @@ def _scan(min_words: int):
             for d, rk, text in zip(batch["d"].to_pylist(), batch["rk"].to_pylist(), batch["text"], strict=True):
                 for no, line in enumerate((text.as_py() or b"").split(b"\n")):
                     words = line.split()
-                    if len(words) >= min_words:
+                    if len(words) >= equal_words:
                         full = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((d, rk, no, _signed(full >> 64), _signed(full & (1 << 64) - 1), *half_keys(words)))
+                        halves = half_keys(words) if len(words) >= min_words else [None] * 4
+                        rows.append((d, rk, no, _signed(full >> 64), _signed(full & (1 << 64) - 1), *halves))
                 if len(rows) > 20_000:
                     yield _batch(schema, rows)
                     rows = []
@@ -139,21 +143,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(doc_id, text).alias("rk"), text.cast("binary").alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = 5, equal_words: int | None = None) -> DataFrame:
     """(d, rk, gone): the line numbers to remove of each row that loses any, where d is doc_id
     (null: the largest long) and rk a hash of the row.
 
     All joins here grow with the input on both sides, and shuffle."""
     keyed = _keyed(docs)
-    lines = stored(keyed.mapInArrow(_scan(min_words), _SCAN), "lines")
+    lines = stored(keyed.mapInArrow(_scan(min_words, min_words if equal_words is None else min(max(equal_words, 1), min_words)), _SCAN), "lines")
     keys = ["k0", "k1", "k2", "k3"]
     place = F.struct("d", "rk", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in keys))
     classes = stored(classes, "lines-classes")
     # a line is alone in a key if the least and the greatest line there are the same
-    each = classes.select("h1", F.explode(F.array(*keys)).alias("k"))
+    each = classes.select("h1", F.explode(F.array(*keys)).alias("k")).filter("k IS NOT NULL")  # short lines have no halves
     shared = stored(each.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("k"), "lines-halves")
-    tagged = classes.select("h1", "h2", F.posexplode(F.array(*keys)).alias("at", "k")).join(shared, "k", "left_semi")
+    tagged = classes.select("h1", "h2", F.posexplode(F.array(*keys)).alias("at", "k")).filter("k IS NOT NULL").join(shared, "k", "left_semi")
     alive = tagged.groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1, at))").alias("halves")).join(classes.select("h1", "h2", "first"), ["h1", "h2"])
     asked = alive.groupBy(F.col("first.d").alias("d"), F.col("first.rk").alias("rk")).agg(F.collect_list(F.struct("h1", "h2", "halves", F.col("first.line").alias("line"))).alias("wanted"))
     # rows that repeat would answer twice
@@ -195,9 +199,9 @@ def _rebuild(columns: list[str]):
     return of
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, equal_words: int | None = None) -> DataFrame:
     """``docs`` without near-duplicate lines, and ``__n_lines, __n_removed`` beside its columns."""
-    gone = removed_lines(docs, min_words).select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), F.col("gone").alias("__gone"))
+    gone = removed_lines(docs, min_words, equal_words).select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), F.col("gone").alias("__gone"))
     docs = docs.withColumn("text", F.col("text").cast("string"))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.withColumn("__d", F.coalesce(doc_id, F.lit(_LAST))).withColumn("__rk", F.xxhash64(doc_id, "text"))

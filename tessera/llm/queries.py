@@ -45,7 +45,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    done = linededup.dedup_lines(read_table(spark, sf_dir, "documents"), equal_words=1)
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

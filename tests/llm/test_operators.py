@@ -648,6 +648,16 @@ def test_line_neighbourhood(spark):
         assert r.text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut)
 
 
+def test_short_lines_that_repeat(spark, tmp_path):
+    docs = [(1, "Read more\n\nx"), (2, "Read  more\n\nRead less\nx y"), (3, "x\nRead more\nRead less\n ")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op8_linededup(spark, str(tmp_path)).collect()}
+    kept = {1: docs[0][1], 2: "\nRead less\nx y", 3: " "}
+    for d, text in kept.items():
+        assert rows[d].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert [rows[d].n_removed for d in (1, 2, 3)] == [0, 1, 3]
+
+
 def test_line_dedup_empty(empty):
     assert linededup.dedup_lines(empty).count() == 0
 
