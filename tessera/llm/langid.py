@@ -7,7 +7,8 @@ each language, so a text that switches language is labelled word by word. A docu
 is the one with the largest expected share of its words, and the score is that share.
 
 Learning takes two rounds on a bounded sample (``sample_docs`` documents of each language, with
-at most ``sample_chars`` characters each; longer documents are left out of the sample). Round 1
+at most ``sample_chars`` characters each; longer documents are sampled where a language has no
+others). Every labelled language is learned. Round 1
 gives every word its document's label and learns feature weights only. Round 2 relabels the
 words by forward-backward with sticky transitions, so that passages in another language get
 their own label, and learns weights and transitions.
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A run of letters: word characters but digits and the underscore.
@@ -39,6 +40,8 @@ UNKNOWN = "und"
 BLOCK = 32
 #: Words whose scores a worker keeps before it starts afresh.
 CACHE = 400_000
+#: Texts in the sample of a language that has long ones only.
+LONG_DOCS = 4
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,17 +274,25 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> list[tuple[str, str]]:
-    """At most ``sample_docs`` rows of each of at most 64 languages, chosen by a hash of their
-    content; what the driver gathers is bounded by these and ``sample_chars``."""
-    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    """Rows of every labelled language, chosen by a hash of their content: ``sample_docs`` of each,
+    or fewer where there are over 64 languages, so that the total stays bounded. A language that
+    has only texts over ``sample_chars`` gives ``LONG_DOCS`` of them, whole."""
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= sample_chars
     drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    out = []
-    for r in counts:
-        share = min(1.0, 2.0 * sample_docs / r["count"])
-        picked = rows.filter((F.col("lang") == r["lang"]) & (drawn <= share)).select("text", "lang", drawn.alias("drawn"), "doc_id")
-        out += [(x["text"], x["lang"]) for x in picked.orderBy("drawn", "doc_id").limit(sample_docs).collect()]
-    return out
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"), F.count(F.when(short, 1)).alias("short")).orderBy(F.desc("short"), "lang").collect()
+    if not counts:
+        return []
+    each = max(1, min(sample_docs, 64 * sample_docs // len(counts)))
+    # some more than wanted are drawn, and the first of them taken
+    asked = [(r["lang"], r["short"] > 0, n := each if r["short"] else min(each, LONG_DOCS), (2.0 * n + 20) / (r["short"] or r["all"])) for r in counts]
+    asked = docs.sparkSession.createDataFrame(asked, "lang string, is_short boolean, wanted int, share double")
+    picked = rows.select("text", F.col("lang").cast("string").alias("lang"), drawn.alias("drawn"), "doc_id", short.alias("is_short"))
+    picked = picked.join(F.broadcast(asked), ["lang", "is_short"]).filter(F.col("drawn") <= F.col("share"))
+    picked = picked.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))).filter("no <= wanted")
+    place = {r["lang"]: i for i, r in enumerate(counts)}
+    found = sorted(picked.select("text", "lang", "no").collect(), key=lambda x: (place[x["lang"]], x["no"]))
+    return [(x["text"], x["lang"]) for x in found]
 
 
 def _rows(crf: Crf | None, texts: list[str | None]):

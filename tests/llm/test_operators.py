@@ -307,6 +307,14 @@ def test_forward_backward():
     assert np.allclose(got, np.concatenate(want)) and np.allclose(counts, total)
 
 
+def test_langid_samples_every_language(spark):
+    """70 languages, and one whose texts are all long."""
+    rows = [(i, f"word{'abcdefghij'[i % 10]} text", f"l{i % 70}") for i in range(700)] + [(1000 + i, "long words " * 800, "long") for i in range(40)]
+    rows = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 250, 6000)
+    assert {lang for _, lang in rows} == {f"l{i}" for i in range(70)} | {"long"}
+    assert [len(t) for t, lang in rows if lang == "long"] == [8800] * langid.LONG_DOCS
+
+
 def test_langid_empty(empty):
     assert langid.identify(empty).count() == 0
 
