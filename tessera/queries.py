@@ -140,20 +140,31 @@ def _escapes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(term.alias("term")).select("term", escape_nt(F.col("term")).alias("escaped"), unescape_nt(escape_nt(F.col("term"))).alias("back"))
 
 
-def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The commerce graph written as N-Triples, validated, and read again."""
+def _round_trip(spark: SparkSession, d: str, predicates: list[str] | None) -> DataFrame:
     import tempfile
     import uuid
 
-    from tessera.sources.ntriples import read_triples, write_triples
+    from tessera.sources.ntriples import InvalidTriples, read_triples, validate, write_triples
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
     path = f"{root.rstrip('/')}/triples-{uuid.uuid4().hex}.nt"
-    g = tables.commerce_graph(spark, d)
-    write_triples(g.triples([predicate(p) for p in ("inNation", "inRegion", "label", "segment", "size")]), path, ascii_only=True)
+    write_triples(tables.commerce_graph(spark, d).triples(predicates), path, ascii_only=True)
+    judged = validate(spark, path)
+    if not judged.ok:
+        raise InvalidTriples(judged.error)
     return read_triples(spark, path)
 
 
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Five predicates of the commerce graph written as N-Triples, validated, and read again."""
+    return _round_trip(spark, d, [predicate(p) for p in ("inNation", "inRegion", "label", "segment", "size")])
+
+
+def _roundtrip_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole commerce graph written as N-Triples, validated, and read again."""
+    return _round_trip(spark, d, None)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (EVENT, COMMERCE, DOCUMENTS):
@@ -187,6 +198,7 @@ def queries() -> dict[str, Query]:
         "result_stats": lambda s, d: result_stats(_text(COMMERCE["wd_S3"], COMMERCE)(s, d)),
         "unicode_escape": _escapes,
         "nt_roundtrip": _roundtrip,
+        "nt_roundtrip_whole": _roundtrip_whole,
     }
     return out
 
@@ -231,6 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "result_stats": f"SELECT count(*) AS rows, 3 * count(*) AS cells, 3 * count(*) AS filled, sum(length(p) + length(l) + length(s))::BIGINT AS chars, 100.0::DOUBLE AS filled_percent, round(sum(length(p) + length(l) + length(s)) / (3 * count(*)), 2) AS mean_chars FROM ({s3})",
         "unicode_escape": r"""SELECT t AS term, '"\u00E9 \uD83D\uDE00 ' || lang || ' \u00F1 ' || source || '"' AS escaped, t AS back FROM (SELECT DISTINCT lang, source, '"é 😀 ' || lang || ' ñ ' || source || '"' AS t FROM documents)""",
         "nt_roundtrip": f"{some} SELECT s, p, o FROM triples",
+        "nt_roundtrip_whole": f"{commerce} SELECT s, p, o FROM triples",
     }
     return out
 
