@@ -204,9 +204,12 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Of sets in one order of all hashes, two that are alike share one of their first so many."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def prefix_length(n: int, similarity: float) -> tuple[int, int]:
+    """How many first hashes of a set of ``n`` are its prefix, and how many of them it shares at
+    least with a set that is alike. One more than cannot be common would do to share one; a tenth
+    of the set more asks for a tenth of the smallest set that can be alike."""
+    least = math.ceil(similarity * n - 1e-9)
+    return (min(n, n - least + 1 + n // 10), 1 + least // 10) if n else (0, 1)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -219,13 +222,15 @@ def _prefixes(width: int, similarity: float):
 
     def of(batches):
         for batch in batches:
-            sid, prefix = [], []
+            sid, prefix, need = [], [], []
             for text in batch["text"]:
                 h = shingle_set(text.as_py(), width)
+                first, least = prefix_length(len(h), similarity)
+                need.append(least)
                 x = xxhash.xxh3_64_intdigest(h.tobytes())
                 sid.append(x - (1 << 64) if x >> 63 else x)
-                prefix.append(h[: prefix_length(len(h), similarity)])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sid, pa.int64()), _lists(prefix)], [*names, "sid", "prefix"])
+                prefix.append(h[:first])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sid, pa.int64()), pa.array(need, pa.int32()), _lists(prefix)], [*names, "sid", "need", "prefix"])
 
     return of
 
@@ -266,8 +271,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
-    Exact, by prefixes: whatever the order of all shingles, two sets that are alike share one of
-    their first few. First the order of the hashes tells who shares any; the others are done.
+    Exact, by prefixes: whatever the order of all shingles, two sets that are alike share some of
+    their first ones. First the order of the hashes tells who shares enough; the others are done.
     Among these, prefixes are taken anew with rare shingles first, so that what a template has in
     common comes last, and sets meet in the shingles of their prefixes.
 
@@ -277,11 +282,11 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
-    fps = stored(rows.mapInArrow(_prefixes(width, similarity), "doc_id long, rk1 long, rk2 long, sid long, prefix array<long>"), "similar-fps")
-    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("prefix").alias("prefix")), "similar-nodes")
-    each = nodes.select("sid", F.explode("prefix").alias("k"))
+    fps = stored(rows.mapInArrow(_prefixes(width, similarity), "doc_id long, rk1 long, rk2 long, sid long, need int, prefix array<long>"), "similar-fps")
+    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("need").alias("need"), F.first("prefix").alias("prefix")), "similar-nodes")
+    each = nodes.select("sid", "need", F.explode("prefix").alias("k"))
     shared = stored(each.groupBy("k").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("k"), "similar-shared")
-    alive = each.join(shared, "k", "left_semi").select("sid").distinct()
+    alive = each.join(shared, "k", "left_semi").groupBy("sid", "need").agg(F.count("*").alias("n")).filter("n >= need").select("sid")
     asked = nodes.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(alive, "sid", "left_semi")
     sets = packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).dropDuplicates(["sid"]).select("sid", "text")
     sets = stored(sets.mapInArrow(_shingle_sets(width), "sid long, set array<long>"), "similar-sets")
