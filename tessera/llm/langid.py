@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released, small_batches
+
 #: A run of letters: word characters but digits and the underscore.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -39,7 +41,11 @@ UNKNOWN = "und"
 #: Words of a block in forward-backward.
 BLOCK = 32
 #: Words whose scores a worker keeps before it starts afresh.
-CACHE = 400_000
+CACHE = 200_000
+#: Words whose features are made at a time.
+SCORED = 4096
+#: Letters of the texts that are labelled at a time; a longer text goes alone.
+TOGETHER = 200_000
 #: Texts in the sample of a language that has long ones only.
 LONG_DOCS = 4
 
@@ -178,16 +184,20 @@ class Crf:
     trans: np.ndarray
     start: np.ndarray
     cache: dict[str, int] = field(default_factory=dict, repr=False)
-    scores: list[np.ndarray] = field(default_factory=list, repr=False)
+    scores: np.ndarray | None = field(default=None, repr=False)  # of the words in the cache
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        who, what = features(words, self.lexicon)
-        return _sum_by(who, self.weights[what], len(words))
+        """Scores of the words, some at a time: their features take many times the room."""
+        out = np.empty((len(words), len(self.labels)))
+        for at in range(0, len(words), SCORED):
+            who, what = features(words[at : at + SCORED], self.lexicon)
+            out[at : at + SCORED] = _sum_by(who, self.weights[what], len(words[at : at + SCORED]))
+        return out
 
     def label_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Word-by-label probabilities of each text (no rows: it has no letter)."""
-        if len(self.cache) > CACHE:
-            self.cache, self.scores = {}, []
+        if self.scores is None or len(self.cache) > CACHE:
+            self.cache, self.scores = {}, np.empty((1024, len(self.labels)), np.float32)
         cache, tokens, new = self.cache, [], []
         for text in texts:
             words = WORD.findall(text.lower()) if text else []
@@ -196,14 +206,14 @@ class Crf:
                 cache[w] = len(cache)
                 new.append(w)
         if new:
-            self.scores.append(self.emissions(new).astype(np.float32))
-        table = np.concatenate(self.scores) if self.scores else np.zeros((0, len(self.labels)), np.float32)
-        self.scores = [table]
+            if len(cache) > len(self.scores):
+                self.scores = np.resize(self.scores, (max(len(cache), 2 * len(self.scores)), len(self.labels)))
+            self.scores[len(cache) - len(new) : len(cache)] = self.emissions(new)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         if not lengths.sum():
             return [np.empty((0, len(self.labels)))] * len(texts)
         ids = np.fromiter((cache[w] for words in tokens for w in words), np.int64, lengths.sum())
-        gamma, _ = posteriors(table[ids].astype(np.float64), lengths[lengths > 0], self.trans, self.start)
+        gamma, _ = posteriors(self.scores[ids].astype(np.float64), lengths[lengths > 0], self.trans, self.start)
         return np.split(gamma, np.cumsum(lengths)[:-1])
 
 
@@ -300,7 +310,7 @@ def _rows(crf: Crf | None, texts: list[str | None]):
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size < 1_000_000):
+        while end < len(texts) and (end == at or size < TOGETHER):
             size += len(texts[end] or "")
             end += 1
         for gamma in crf.label_texts(texts[at:end]) if crf else [np.empty((0, 1))] * (end - at):
@@ -327,9 +337,10 @@ def _predict(crf: Crf | None):
 
 def identify(docs: DataFrame, sample_docs: int = 250, sample_chars: int = 6000) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, n_words, n_switches`` of each document."""
+    small_batches(docs.sparkSession)
     crf = train(sample(docs, sample_docs, sample_chars))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(crf), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
+    return rows.mapInArrow(released(_predict(crf)), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
 
 
 def _known(crf: Crf | None, min_score: float):
@@ -344,5 +355,6 @@ def _known(crf: Crf | None, min_score: float):
 def keep_known(docs: DataFrame, min_score: float = 0.3, sample_docs: int = 250, sample_chars: int = 6000) -> DataFrame:
     """``docs`` without those of no language: no letters, or no language with at least
     ``min_score`` of the words."""
+    small_batches(docs.sparkSession)
     crf = train(sample(docs, sample_docs, sample_chars))
-    return docs.mapInArrow(_known(crf, min_score), docs.schema)
+    return docs.mapInArrow(released(_known(crf, min_score)), docs.schema)
