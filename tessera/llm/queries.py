@@ -33,7 +33,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), carry=False)
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(read_table(spark, sf_dir, "documents"), equal_words=1)
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    done = linededup.line_report(read_table(spark, sf_dir, "documents"), equal_words=1)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
