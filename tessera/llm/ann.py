@@ -1,12 +1,16 @@
 """Approximate nearest neighbours: inverted lists with product-quantised residuals.
 
-Coarse centroids and the codebooks of residuals are learned by k-means on a sample of at most
-``train_rows`` vectors, chosen by a hash of their id; every vector is indexed. A query probes the
-lists whose centroids are nearest, scores their codes by asymmetric distance tables, and its best
-``rerank`` candidates are scored exactly, in double precision, on the original vectors.
-
-Lists that hold more than ``cell_rows`` codes are dealt into several cells, each with a copy of
-the queries; a cell returns the best of each query, so what meets per query is bounded.
+Coarse centroids (the best of several starts) and the codebooks of residuals are learned by
+k-means on a sample of at most ``train_rows`` vectors, chosen by a hash of their id; every vector is
+indexed. A query probes the lists whose centroids are nearest, scores their codes by asymmetric
+distance tables, and its best ``rerank`` candidates are scored exactly, in double precision, on the
+original vectors.
+
+Lists that lie side by side share a part of about ``part_rows`` codes; a longer list is dealt into
+several parts. A query goes to each part once, whatever number of lists it probes there, and a
+part returns its ``part_best`` best, so what meets per query grows with the number of parts, not
+of lists or codes. Where many queries meet in a part, they are dealt into shares, each with a
+copy of its codes.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no
 part, nor do those of another length than the sample's most common one, nor rows with a null
@@ -20,12 +24,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import released, small_batches, stored
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -39,6 +42,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
+def best_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, starts: int = 3) -> np.ndarray:
+    """Of several starts, the centroids that lie nearest to the vectors."""
+    tried = [kmeans(x, k, rounds, rng) for _ in range(starts)]
+    loss = [sum(float(distances(x[i : i + 4096], c).min(axis=1).sum()) for i in range(0, len(x), 4096)) for c in tried]
+    return tried[int(np.argmin(loss))]
+
+
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances but for a term that is the same for all of a row."""
     return (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)
@@ -58,7 +68,7 @@ class Index:
     def learn(x: np.ndarray, lists: int, subspaces: int, seed: int = 5) -> Index:
         rng = np.random.default_rng(seed)
         x = x.astype(np.float32)
-        coarse = kmeans(x, lists, 8, rng)
+        coarse = best_kmeans(x, lists, 8, rng)
         rest = x - coarse[nearest(x, coarse)]
         dims = x.shape[1]
         edges = [round(dims * i / min(subspaces, dims)) for i in range(min(subspaces, dims) + 1)]
@@ -121,78 +131,114 @@ def _encode(index: Index):
     return of
 
 
-def _probe(index: Index, probes: int, sizes: np.ndarray, cells: np.ndarray, least: int):
+def parts_of(coarse: np.ndarray, sizes: np.ndarray, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, number of parts) of each list. Lists stand in a chain, each followed by the
+    nearest that is left, and parts are cut from it."""
+    first, many = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // part_rows))
+    left = np.ones(len(sizes), bool)
+    at, part, held = 0, 0, 0
+    for _ in range(len(sizes)):
+        left[at] = False
+        if held and (many[at] > 1 or held + sizes[at] > part_rows):
+            part, held = part + 1, 0
+        first[at] = part
+        if many[at] > 1:
+            part += many[at]
+        else:
+            held += sizes[at]
+        if left.any():
+            d = distances(coarse[at][None], coarse)[0]
+            at = int(np.where(left, d, np.inf).argmin())
+    return first, many
+
+
+def _probe(index: Index, probes: int, sizes: np.ndarray, first: np.ndarray, many: np.ndarray, least: int):
+    schema = pa.schema([("part", pa.int32()), ("query_id", pa.int64()), ("lists", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+
     def of(batches):
         for batch in batches:
-            ids, vectors = batch["vec_id"].to_pylist(), batch["v"].to_pylist()
-            rows = []
-            for at in range(0, len(ids), 256):
-                part = np.array(vectors[at : at + 256], np.float64)
-                for i, found in enumerate(index.probe(part, probes, sizes, least)):
-                    rows += [(int(x), c, ids[at + i], vectors[at + i]) for x in found if sizes[x] for c in range(cells[x])]
-            names = [("list", pa.int32()), ("cell", pa.int32()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                part, query, lists = [], [], []
+                for i, found in enumerate(index.probe(_vectors(some["v"]), probes, sizes, least)):
+                    by: dict[int, list[int]] = {}
+                    for x in found.tolist():
+                        if sizes[x]:
+                            for p in range(first[x], first[x] + many[x]):
+                                by.setdefault(p, []).append(x)
+                    part += by
+                    lists += by.values()
+                    query += [i] * len(by)
+                own = pa.array(query, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), some["vec_id"].take(own), pa.array(lists, pa.list_(pa.int32())), some["v"].take(own)], schema=schema)
 
     return of
 
 
 def _score(index: Index, best: int):
-    def of(key, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def of(codes: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
         if len(codes) and len(queries):
-            codes = codes.sort_values("vec_id")
-            ids = codes.vec_id.to_numpy()
-            c = np.frombuffer(b"".join(codes.code), np.uint8).reshape(len(ids), -1)
+            codes = codes.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            ids, at = codes["vec_id"].to_numpy(), codes["list"].to_numpy()
+            c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            lo, hi = (np.searchsorted(at, np.arange(len(index.coarse)), side) for side in ("left", "right"))
             spot = np.arange(c.shape[1])
-            for q, v in zip(queries.query_id, queries.v, strict=True):
-                d = index.table(np.asarray(v), int(key[0]))[spot, c].sum(axis=1)
-                d = np.where(ids == q, np.inf, d)
+            for q, v, lists in zip(*(queries[x].to_pylist() for x in ("query_id", "v", "lists")), strict=True):
+                v = np.array(v)
+                d = np.concatenate([index.table(v, x)[spot, c[lo[x] : hi[x]]].sum(axis=1) for x in lists])
+                who = np.concatenate([ids[lo[x] : hi[x]] for x in lists])
+                d, who = d[who != q], who[who != q]
                 if len(d) > best:
                     edge = np.partition(d, best - 1)[best - 1]
-                    inside = np.flatnonzero(d < edge)
-                    pick = np.concatenate([inside, np.flatnonzero(d == edge)[: best - len(inside)]])
-                else:
-                    pick = np.arange(len(d))
-                pick = pick[np.isfinite(d[pick])]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[pick], "adc": d[pick].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "adc": pd.Series(dtype="float64")})
+                    inside, equal = np.flatnonzero(d < edge), np.flatnonzero(d == edge)
+                    pick = np.concatenate([inside, equal[np.argsort(who[equal])[: best - len(inside)]]])
+                    d, who = d[pick], who[pick]
+                out.append((np.full(len(d), q), who, d.astype(np.float64)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "vec_id", "adc"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return of
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int | None = None, recall: float = 0.98, subspaces: int = 16, rerank: int = 400, train_rows: int = 20_000, cell_rows: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int | None = None, probes: int | None = None, recall: float = 0.95, subspaces: int = 16, rerank: int = 400, part_best: int = 100, train_rows: int = 20_000, part_rows: int = 1_000_000, share_queries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest vectors found for each row of
     ``vectors`` (vec_id, embedding) that ``is_query`` picks, itself left out.
 
     The number of lists to probe is the one that holds ``recall`` of the neighbours in the sample,
-    unless ``probes`` is given. The driver gathers the sample and one size per list (``lists`` at most 4096).
+    unless ``probes`` is given. Parts hold ``part_rows`` codes, fewer where that gives too few to
+    keep the session's partitions busy. The driver gathers the sample and one size per list
+    (``lists`` at most 4096).
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows)
     sizes = Counter({r["d"]: r["count"] for r in drawn.groupBy(F.size("v").alias("d")).count().collect()})
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = max(sizes, key=lambda d: (sizes[d], -d))
     rows = stored(rows.filter(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
-    n = rows.count()
+    n, asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     learned = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("v").toLocalIterator()])
-    lists = max(1, min(4096, lists or round(n**0.5)))
-    index = Index.learn(learned, lists, subspaces)
+    index = Index.learn(learned, max(1, min(4096, lists or round(n**0.5))), subspaces)
     lists = len(index.coarse)
-    probes = probes or index.probes_for(learned, k, recall)
-    codes = stored(rows.mapInArrow(_encode(index), "list int, vec_id long, code binary"), "ann-codes")
+    probes = min(lists, probes or index.probes_for(learned, k, recall))
+    codes = stored(rows.mapInArrow(released(_encode(index)), "list int, vec_id long, code binary"), "ann-codes")
     held = np.zeros(lists, np.int64)
     for r in codes.groupBy("list").count().collect():
         held[r["list"]] = r["count"]
-    cells = np.maximum(1, -(-held // cell_rows))
-    queries = rows.filter(is_query).mapInArrow(_probe(index, probes, held, cells, 4 * k), "list int, cell int, query_id long, v array<double>")
-    cell_of = F.element_at(F.lit(cells.astype(int).tolist()), F.col("list") + 1)
-    dealt = codes.withColumn("cell", F.pmod(F.xxhash64("vec_id"), cell_of).cast("int"))
-    found = dealt.groupBy("list", "cell").cogroup(queries.groupBy("list", "cell")).applyInPandas(_score(index, rerank), "query_id long, vec_id long, adc double")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "vec_id"))
-    short = found.withColumn("at", first).filter(F.col("at") <= rerank).select("query_id", "vec_id")
+    busy = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first, many = parts_of(index.coarse, held, max(1000, min(part_rows, -(-n // busy))))
+    shares = max(1, round(asked * probes / lists / share_queries))
+    pick = lambda a, at: F.element_at(F.lit(a.astype(int).tolist()), at + 1)
+    part = pick(first, F.col("list")) + F.pmod(F.xxhash64("vec_id"), pick(many, F.col("list")))
+    dealt = codes.withColumn("part", part.cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    queries = rows.filter(is_query).mapInArrow(released(_probe(index, probes, held, first, many, 4 * k)), "part int, query_id long, lists array<int>, v array<double>")
+    queries = queries.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+    found = dealt.groupBy("part", "share").cogroup(queries.groupBy("part", "share")).applyInArrow(_score(index, min(part_best, rerank)), "query_id long, vec_id long, adc double")
+    nearest_first = F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "vec_id"))
+    short = found.withColumn("at", nearest_first).filter(F.col("at") <= rerank).select("query_id", "vec_id")
     q = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     square = F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
     exact = short.join(rows, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.sqrt(square).alias("score"))
