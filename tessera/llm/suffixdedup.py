@@ -13,36 +13,43 @@ One array over all text would not distribute, so strings are first brought toget
 1. Every window of ``length`` bytes has an anchor, the ``gram`` bytes in it with the least hash
    (the leftmost of equals). Windows with the same anchor occurrence form a run; equal windows
    have equal anchors at equal offsets. Anchors that occur once are done with.
-2. Runs of one anchor whose bytes are all the same form a class. A class with two runs repeats
-   whole, and copies need no more than its count.
-3. For anchors with several classes one run of each is fetched. In buckets of anchors, runs are
-   cut into blocks of 32 bytes, aligned at the anchor, and the suffix array of the blocks, with
-   the common prefixes of neighbours, tells which windows can repeat. Those are verified by the
-   hash of their bytes. An anchor with more than ``wide`` classes is not brought together: its
-   windows are counted by hash over the cluster.
-
-Hashes are 64 bits of polynomials with a random table. Defined results: null text is empty;
-documents shorter than ``length`` keep all bytes; rows that repeat are documents of their own, so
-both lose what is long enough; an empty table gives no rows.
+2. Runs of one anchor with the same bytes (by a digest of 128 bits) form a class with a count,
+   and one run of each class is fetched.
+3. In buckets of anchors, each class goes into a suffix array once, or twice where it counts more
+   than one run. Symbols are blocks of 32 bytes, aligned at the anchor. Common prefixes of
+   neighbours in the array say which windows can stand elsewhere; of those, the ones of which
+   another class has the same bytes do. The bytes are compared, hashes only say with what.
+4. An anchor with too many classes for one array (a passage that very many texts go on from in
+   their own ways) is not cut off: its windows are dealt by their distance to the anchor into
+   narrower runs, with what all windows of such a run have in common as their new anchor, and
+   these go through steps 2 and 3 in turn. Narrowed far enough, a run is one window.
+
+Hashes that route are 64 bits of polynomials with a random table; nothing is removed because of
+them. Defined results: null text is empty; documents shorter than ``length`` keep all bytes; rows
+that repeat are documents of their own, so both lose what is long enough; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, stored, unpacked
+from tessera.llm.common import packed, released, small_batches, stored, unpacked
 
 GRAM = 64
 #: Bytes of a symbol of the suffix array.
 BLOCK = 32
 #: Windows of a document that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Distances to the anchor that windows of a run have, at each narrowing.
+WIDTHS = (48, 6, 1)
 _LAST = (1 << 63) - 1
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -179,7 +186,7 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(b: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor position, anchor hash, class hash) of each run."""
+    """(first window, last window, anchor position, anchor hash) of each run."""
     windows = len(b) - length + 1
     parts = []
     for at in range(0, max(0, windows), CHUNK):
@@ -193,23 +200,31 @@ def runs(b: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]
         cut = np.flatnonzero(np.diff(spot)) + 1
         s, e = np.concatenate([[0], cut]), np.concatenate([cut, [len(spot)]]) - 1
         p = spot[s]
-        shape = (p - s).astype(np.uint64) << np.uint64(32) | (e - s).astype(np.uint64)
-        cls = _mix(spans_hash(c, s, e + length) ^ _mix(shape + np.uint64(1)))
-        parts.append((s + at, e + at, p + at, h[p], cls))
+        parts.append((s + at, e + at, p + at, h[p]))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _pairs(digests: list[bytes]) -> np.ndarray:
+    """Digests of 128 bits as two columns of signed longs."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
 def _scan(length: int):
+    digest = xxhash.xxh3_128_digest
+
     def of(batches):
         for batch in batches:
             out, size = [], 0
             for d, rk, text in zip(batch["d"].to_pylist(), batch["rk"].to_pylist(), batch["text"], strict=True):
-                s, e, p, a, c = runs(np.frombuffer(text.as_buffer(), np.uint8), length)
-                out.append((np.full(len(s), d), np.full(len(s), rk), s.astype(np.int32), e.astype(np.int32), p.astype(np.int32), a.view(np.int64), c.view(np.int64)))
+                data = text.as_buffer()
+                s, e, p, a = runs(np.frombuffer(data, np.uint8), length)
+                data = memoryview(data)
+                c = _pairs([digest(data[i:j]) for i, j in zip(s.tolist(), (e + length).tolist(), strict=True)])
+                out.append((np.full(len(s), d), np.full(len(s), rk), s.astype(np.int32), e.astype(np.int32), p.astype(np.int32), a.view(np.int64), c[:, 0], c[:, 1]))
                 size += len(s)
-                if size > 50_000:
+                if size > 10_000:
                     yield _columns(out)
                     out, size = [], 0
             if out:
@@ -219,7 +234,16 @@ def _scan(length: int):
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["d", "rk", "s", "e", "p", "a", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["d", "rk", "s", "e", "p", "a", "c1", "c2"])
+
+
+_CONTEXT = "a long, c1 long, c2 long, n long, rel int, ctx binary"
+_CONTEXT_ARROW = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("rel", pa.int32()), ("ctx", pa.binary())])
+
+
+def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _fetch(length: int):
@@ -227,15 +251,51 @@ def _fetch(length: int):
 
     def of(batches):
         for batch in batches:
-            a, c, rel, ctx, bucket = [], [], [], [], []
-            for data, wanted in zip(unpacked(batch["text"]), batch["wanted"].to_pylist(), strict=True):
-                for w in wanted:
-                    a.append(w["a"])
-                    c.append(w["c"])
-                    bucket.append(w["bucket"])
-                    rel.append(w["p"] - w["s"])
-                    ctx.append(data[w["s"] : w["e"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bucket, pa.int64()), pa.array(rel, pa.int32()), pa.array(ctx, pa.binary())], ["a", "c", "bucket", "rel", "ctx"])
+            rows, size = [], 0
+            for data, wanted in zip(unpacked(batch["text"]), batch["wanted"], strict=True):
+                for w in wanted.as_py():
+                    ctx = data[w["s"] : w["e"] + length]
+                    rows.append((w["a"], w["c1"], w["c2"], w["n"], w["p"] - w["s"], ctx))
+                    size += len(ctx) + 50
+                    if size > 1 << 20:
+                        yield _records(rows, _CONTEXT_ARROW)
+                        rows, size = [], 0
+            yield _records(rows, _CONTEXT_ARROW)
+
+    return of
+
+
+_NARROW = _CONTEXT + ", up_a long, up_c1 long, up_c2 long, off int"
+
+
+def narrower(ctx: bytes, rel: int, width: int, length: int) -> list[tuple[int, int, bytes]]:
+    """(first window, last window, what all windows of such a run have in common) of the narrower
+    runs: windows whose distances to the anchor are in one range of ``width``."""
+    out = []
+    most = len(ctx) - length  # the last window
+    for g in range((rel - most) // width, rel // width + 1):
+        lo, hi = max(0, rel - g * width - width + 1), min(most, rel - g * width)
+        out.append((lo, hi, g.to_bytes(4, "little") + ctx[rel - g * width : rel - g * width - width + 1 + length]))
+    return out
+
+
+def _narrow(width: int, length: int):
+    schema = pa.schema([*_CONTEXT_ARROW, ("up_a", pa.int64()), ("up_c1", pa.int64()), ("up_c2", pa.int64()), ("off", pa.int32())])
+
+    def of(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for a, c1, c2, n, rel, ctx in zip(*(batch[x].to_pylist() for x in ("a", "c1", "c2", "n", "rel", "ctx")), strict=True):
+                for lo, hi, core in narrower(ctx, rel, width, length):
+                    part = ctx[lo : hi + length]
+                    key = xxhash.xxh3_64_intdigest(core) - (1 << 63)
+                    d1, d2 = _pairs([xxhash.xxh3_128_digest(core[:4] + part)])[0].tolist()
+                    rows.append((key, d1, d2, n, rel - lo, part, a, c1, c2, lo))
+                    size += len(part) + 80
+                    if size > 1 << 20:
+                        yield _records(rows, schema)
+                        rows, size = [], 0
+            yield _records(rows, schema)
 
     return of
 
@@ -286,99 +346,123 @@ def cover(windows: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return windows[np.concatenate([[0], cut])].tolist(), (windows[np.concatenate([cut, [len(windows)]]) - 1] + length).tolist()
 
 
-def repeated_windows(anchors: list[int], contexts: list[bytes], rels: list[int], length: int) -> list[np.ndarray]:
-    """For different runs, the windows that also stand in another run of the same anchor: the
-    suffix array names candidates, hashes of their bytes verify them."""
-    reach, starts = candidate_blocks(contexts, rels, length // BLOCK)
+def repeated_windows(anchors: list[int], contexts: list[bytes], rels: list[int], counts: list[int], length: int) -> list[np.ndarray]:
+    """For classes of runs, all different, the windows that also stand elsewhere. The suffix
+    array, in which a class that counts several runs stands twice, says how far each block's
+    surroundings repeat; of windows that repeat so far, bytes are compared."""
+    twice = [i for i, n in enumerate(counts) for _ in range(2 if n > 1 else 1)]
+    reach, starts = candidate_blocks([contexts[i] for i in twice], [rels[i] for i in twice], length // BLOCK)
+    place_of = dict(zip(reversed(twice), reversed(starts.tolist()), strict=True))  # the first one of a class
+    several = Counter(anchors)
+    out = [np.empty(0, np.int64)] * len(contexts)
     owner, window, hashes = [], [], []
     for i, (ctx, rel) in enumerate(zip(contexts, rels, strict=True)):
         w = np.arange(len(ctx) - length + 1)
         first = rel % BLOCK
         block = -((first - w) // BLOCK)  # the first whole block at or after the window's start
         lead = first + block * BLOCK - w
-        w = w[reach[starts[i] + block] >= (length - lead) // BLOCK]
-        if len(w):
+        w = w[reach[place_of[i] + block] >= (length - lead) // BLOCK]
+        if counts[i] > 1:
+            out[i] = w  # the array holds the same bytes twice
+        if several[anchors[i]] > 1 and len(w):
             c = prefix_sums(np.frombuffer(ctx, np.uint8))
             owner.append(np.full(len(w), i))
             window.append(w)
             hashes.append(spans_hash(c, w, w + length))
-    out = [np.empty(0, np.int64)] * len(contexts)
     if not owner:
         return out
     owner, window, hashes = map(np.concatenate, (owner, window, hashes))
     place = np.array(anchors, np.int64).view(np.uint64)[owner] + _mix((np.array(rels)[owner] - window).astype(np.uint64) + np.uint64(1))
-    key = _mix(place) ^ hashes
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    hit = n[back] > 1
+    _, first, back = np.unique(_mix(place) ^ hashes, return_index=True, return_inverse=True)
+    same = np.flatnonzero(first[back] != np.arange(len(back)))  # stands for the same as an earlier one, if bytes agree
+    if not len(same):
+        return out
+    other = first[back[same]]
+    # neighbours that go along with neighbours are compared in one piece
+    step = (np.diff(owner[same]) != 0) | (np.diff(window[same]) != 1) | (np.diff(owner[other]) != 0) | (np.diff(window[other]) != 1)
+    cut = np.flatnonzero(step) + 1
+    hit = np.zeros(len(back), bool)
+    doubt = set()
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(same)], strict=True):
+        i, j, n = same[lo], other[lo], hi - lo - 1 + length
+        if contexts[owner[i]][window[i] : window[i] + n] == contexts[owner[j]][window[j] : window[j] + n]:
+            hit[same[lo:hi]] = hit[other[lo:hi]] = True
+        else:
+            doubt.update(back[same[lo:hi]].tolist())
+    for k in doubt:  # different bytes under one hash: each is looked up among those
+        of = np.flatnonzero(back == k).tolist()
+        bytes_of = [contexts[owner[t]][window[t] : window[t] + length] for t in of]
+        n = Counter(bytes_of)
+        for t, x in zip(of, bytes_of, strict=True):
+            hit[t] = n[x] > 1
     owner, window = owner[hit], window[hit]
     cut = np.flatnonzero(np.diff(owner)) + 1
     for i, w in zip(owner[np.concatenate([[0], cut])] if len(owner) else [], np.split(window, cut), strict=False):
-        out[i] = w
+        if counts[i] == 1:
+            out[i] = w
     return out
 
 
-def _bucket(length: int):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["a", "c"])  # rows that repeat answer twice
-        found = repeated_windows(rows.a.tolist(), rows.ctx.tolist(), rows.rel.tolist(), length)
-        spans = [cover(w, length) for w in found]
-        out = pd.DataFrame({"a": rows.a, "c": rows.c, "lo": [x for x, _ in spans], "hi": [y for _, y in spans]})
-        return out[out.lo.map(len) > 0]
+_VERDICT = "a long, c1 long, c2 long, lo array<int>, hi array<int>"
 
-    return of
 
+def _bucket(length: int):
+    schema = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
 
-def _windows(length: int):
-    """All windows of the runs of very common anchors, for counting over the cluster."""
-
-    def of(batches):
-        for batch in batches:
-            for a, c, rel, ctx in zip(*(batch[x].to_pylist() for x in ("a", "c", "rel", "ctx")), strict=True):
-                w = np.arange(len(ctx) - length + 1)
-                h = spans_hash(prefix_sums(np.frombuffer(ctx, np.uint8)), w, w + length)
-                yield pa.RecordBatch.from_pydict({"a": np.full(len(w), a), "at": (rel - w).astype(np.int32), "h": h.view(np.int64), "c": np.full(len(w), c), "w": w.astype(np.int32)})
+    def of(table: pa.Table) -> pa.Table:
+        rows = {(a, c1, c2): x for a, c1, c2, *x in zip(*(table[c].to_pylist() for c in ("a", "c1", "c2", "ctx", "rel", "n")), strict=True)}  # rows that repeat answer twice
+        found = repeated_windows([a for a, _, _ in rows], *([x[i] for x in rows.values()] for i in range(3)), length)
+        out = [(*k, *cover(w, length)) for k, w in zip(rows, found, strict=True) if len(w)]
+        return pa.Table.from_batches([_records(out, schema)])
 
     return of
 
 
+def _decided(contexts: DataFrame, length: int, bucket_classes: int, widths: tuple[int, ...]) -> DataFrame:
+    """(a, c1, c2, lo, hi): what repeats of each class of ``contexts`` (a stored table)."""
+    sizes = stored(contexts.groupBy("a").agg(F.count("*").alias("k")), "repeats-anchors")
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    buckets = max(1, -(-total // bucket_classes))
+    hot = sizes.filter(F.col("k") > bucket_classes // 2).select("a") if widths else sizes.filter("false").select("a")
+    some = widths and hot.limit(1).count() > 0
+    here = contexts.join(hot, "a", "left_anti") if some else contexts
+    part = here.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bucket(length), _VERDICT)
+    if not some:
+        return part
+    narrow = stored(contexts.join(hot, "a", "left_semi").mapInArrow(released(_narrow(widths[0], length)), _NARROW), "repeats-narrow")
+    key = ["a", "c1", "c2"]
+    merged = narrow.groupBy(*key).agg(F.sum("n").alias("n"), F.first("rel").alias("rel"), F.first("ctx").alias("ctx"))
+    # what stands once under its anchor repeats nowhere
+    alone = merged.groupBy("a").agg(F.sum("n").alias("all")).filter("all > 1").select("a")
+    merged = stored(merged.join(alone, "a", "left_semi"), "repeats-merged")
+    inner = _decided(merged, length, bucket_classes, widths[1:])
+    shift = lambda c: F.transform(c, lambda x: x + F.col("off"))
+    up = narrow.select(*key, "off", "up_a", "up_c1", "up_c2").join(inner, key).groupBy("up_a", "up_c1", "up_c2").agg(F.flatten(F.collect_list(shift("lo"))).alias("lo"), F.flatten(F.collect_list(shift("hi"))).alias("hi"))
+    return part.unionByName(up.select(*(F.col(f"up_{k}").alias(k) for k in key), "lo", "hi"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("d"), F.xxhash64(doc_id, text).alias("rk"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
 
 
-def repeats(docs: DataFrame, length: int = 400, bucket_classes: int = 4000, wide: int = 16_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, bucket_classes: int = 2000) -> DataFrame:
     """(d, rk, spans): byte spans to remove of each row that has any, not yet merged; d is doc_id
     (null: the largest long), rk a hash of the row.
 
     All joins here grow with the input on both sides, and shuffle."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs).select("d", "rk", "text")
-    found = stored(keyed.filter(F.octet_length("text") >= length).mapInArrow(_scan(length), "d long, rk long, s int, e int, p int, a long, c long"), "repeats-runs")
-    often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeats-anchors")
-    common = stored(found.join(often, "a", "left_semi"), "repeats-common")
-    classes = stored(common.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "rk", "s", "e", "p")).alias("one")), "repeats-classes")
-    several = stored(classes.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-several")
-    total = several.agg(F.sum("k")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_classes))
-    bucket = F.when(F.col("k") > wide, F.lit(-1)).when(F.col("k") > bucket_classes // 2, F.col("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    asked = classes.join(several, "a").select("one", F.struct("a", "c", F.col("one.s").alias("s"), F.col("one.e").alias("e"), F.col("one.p").alias("p"), bucket.cast("long").alias("bucket")).alias("w"))
+    key = ["a", "c1", "c2"]
+    found = stored(keyed.filter(F.octet_length("text") >= length).mapInArrow(released(_scan(length)), "d long, rk long, s int, e int, p int, a long, c1 long, c2 long"), "repeats-runs")
+    # a stored side of its own lets a join split a hot key of the other
+    often = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeats-often")
+    classes = found.join(often, "a", "left_semi").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("d", "rk", "s", "e", "p")).alias("one"))
+    asked = classes.select("one", F.struct(*key, "n", F.col("one.s").alias("s"), F.col("one.e").alias("e"), F.col("one.p").alias("p")).alias("w"))
     asked = asked.groupBy(F.col("one.d").alias("d"), F.col("one.rk").alias("rk")).agg(F.collect_list("w").alias("wanted"))
-    contexts = packed(keyed).join(asked, ["d", "rk"]).mapInArrow(_fetch(length), "a long, c long, bucket long, rel int, ctx binary")
-    if several.filter(F.col("k") > wide).limit(1).count():
-        contexts = stored(contexts, "repeats-contexts")
-        each = contexts.filter("bucket = -1").dropDuplicates(["a", "c"]).mapInArrow(_windows(length), "a long, at int, h long, c long, w int")
-        twice = each.groupBy("a", "at", "h").agg(F.count("*").alias("n")).filter("n > 1").select("a", "at", "h")
-        hit = each.join(twice, ["a", "at", "h"], "left_semi").groupBy("a", "c").agg(F.collect_list("w").alias("ws"))
-        hit = hit.select("a", "c", F.col("ws").alias("lo"), F.transform("ws", lambda w: w + length).alias("hi"))
-        contexts = contexts.filter("bucket != -1")
-    else:
-        hit = None
-    part = contexts.groupBy("bucket").applyInPandas(_bucket(length), "a long, c long, lo array<int>, hi array<int>")
-    part = part if hit is None else part.unionByName(hit)
-    whole = classes.filter("n > 1").select("a", "c", F.array(F.lit(0)).alias("lo"), F.array(F.col("one.e") - F.col("one.s") + length).alias("hi"))
-    # a class that repeats whole needs no parts
-    parts = part.join(classes.filter("n = 1").select("a", "c"), ["a", "c"], "left_semi")
-    verdict = stored(whole.unionByName(parts), "repeats-verdict")
-    gone = common.select("a", "c", "d", "rk", "s").join(verdict, ["a", "c"])
+    contexts = stored(packed(keyed).join(asked, ["d", "rk"]).mapInArrow(released(_fetch(length)), _CONTEXT), "repeats-contexts")
+    verdict = _decided(contexts, length, bucket_classes, WIDTHS)
+    gone = found.select(*key, "d", "rk", "s").join(verdict, key)
     spans = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("s")).alias("lo"), (x["hi"] + F.col("s")).alias("hi")))
     return gone.select("d", "rk", spans.alias("spans")).groupBy("d", "rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -408,7 +492,7 @@ def _apply(batches):
 def remove_repeats(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes."""
     joined = packed(_keyed(docs)).join(repeats(docs, length, **options), ["d", "rk"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.select("doc_id", "text", "spans").mapInArrow(released(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def report(docs: DataFrame, length: int = 400, **options) -> DataFrame:
