@@ -6,22 +6,27 @@ expected copies, shifted by one random offset per source, crosses an integer as
 document is emitted. Because the order is by size class, the words taken follow the target.
 
 The prefix sum is taken in cells (source, size class, salt), so no task needs all rows of a
-source; only the number of rows of each cell meets, at most ``SIZE_CLASSES * salts`` per source.
+source; only the number of rows of each cell meets, and there are more salts where there are
+more rows.
+
+Targets are found by level: a source is full where ``cap`` times its size is below its weight
+times the level, and the level is what is left over the weight that is left; it rises until no
+source more is full. The driver sees two sums per step, however many sources there are.
 
 Defined results: null text has size 0 and is taken 0 words; sources are ordered by code point
-with null last; repeated rows are documents of their own; a null doc_id orders first; an empty
-table gives no rows.
+with null last; repeated rows are documents of their own; a null doc_id orders first; other columns
+come back as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import size_in_words
+from tessera.llm.common import broadcast_if_small, numbered, size_in_words, stored, unfolded, whole_row
 
 #: Weights of sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,70 +36,78 @@ MAX_REPEAT = 3
 SIZE_CLASSES = 8 * 64
 
 
-def size_class(size: Column) -> Column:
-    """Position of the top bit and the three bits after it, in integers."""
-    bits = F.length(F.bin(size))
-    top = F.when(bits > 4, F.expr("shiftright(`__size`, length(bin(`__size`)) - 4)")).otherwise(F.expr("shiftleft(`__size`, 4 - length(bin(`__size`)))"))
+#: Rows for each salt, beyond the least number of salts.
+SALT_ROWS = 100_000
+LEAST_SALTS = 64
+
+
+def size_class() -> Column:
+    """Position of the top bit of ``size`` and the three bits after it, in integers."""
+    bits = F.length(F.bin("size"))
+    top = F.when(bits > 4, F.expr("shiftright(size, length(bin(size)) - 4)")).otherwise(F.expr("shiftleft(size, 4 - length(bin(size)))"))
     # never null, as the optimiser sees: a join on it adds no filter that counts words once more
-    return F.coalesce(F.when(size == 0, F.lit(-1)).otherwise((bits - 1) * 8 + top.cast("int") % 8).cast("int"), F.lit(-1))
-
-
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_REPEAT) -> dict[str | None, float]:
-    """Words to take from each source: shares by weight of the total, none above ``cap`` times
-    its size, the excess shared anew by weight until none is above. Sources that fill first are
-    those of the smallest ``cap * size / weight``, so one pass in that order settles it."""
-    names = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + [None] * (None in sizes)
-    w = {k: weights[i % len(weights)] for i, k in enumerate(names)}
-    left, weight, level = float(sum(sizes.values())), float(sum(w.values())), 0.0
-    for k in sorted(names, key=lambda k: (cap * sizes[k] / w[k], names.index(k))):
-        level = left / weight
-        if level <= cap * sizes[k] / w[k]:
+    return F.coalesce(F.when(F.col("size") == 0, F.lit(-1)).otherwise((bits - 1) * 8 + top.cast("int") % 8).cast("int"), F.lit(-1))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_REPEAT) -> DataFrame:
+    """``sizes`` (source, source_size; a stored table) with ``target``, the words to take from
+    each: shares by weight of the total, none above ``cap`` times its size, the excess shared
+    anew by weight until none is above."""
+    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = stored(ranked.select("source", "source_size", weight.alias("w"), (cap * F.col("source_size").cast("double")).alias("most")), "mix-ranked")
+    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        now = F.coalesce(F.col("most") / F.col("w") < F.lit(level), F.lit(False))
+        held, left, n = ranked.agg(F.coalesce(F.sum(F.when(now, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~now, F.col("w"))), F.lit(0)), F.count(F.when(now, 1))).first()
+        if n == full:
             break
-        left -= cap * sizes[k]
-        weight -= w[k]
-    return {k: min(float(cap * sizes[k]), w[k] * level) for k in names}
+        full, level = n, (total - held) / left if left else math.inf
+    return ranked.select("source", "source_size", F.least(F.col("most"), F.col("w") * F.lit(level)).alias("target"))
 
 
-def offset(source: str | None, seed: int) -> float:
+def offset(source: Column, seed: int) -> Column:
     """The random offset of a source, in [0, 1)."""
-    name = "n" if source is None else f"s{source}"
-    return int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:8], 16) / 2**32
+    name = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name)), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_REPEAT, seed: int = 17, salts: int = 64, carry: bool = True, size: Callable[[Column], Column] = size_in_words) -> DataFrame:
-    """``docs`` with ``__size, __source_size, __target, __copies``: how often the mix takes each
-    document. Without ``carry`` only doc_id comes along, and texts are not shuffled.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = MAX_REPEAT, seed: int = 17, carry: bool = True, size: Callable[[Column], Column] = size_in_words) -> DataFrame:
+    """``doc_id, size, source_size, target, copies`` of each document: how often the mix takes
+    it. With ``carry``, ``row`` holds its columns; without, texts are not shuffled.
 
-    What the driver gathers is one row per source.
+    Words are counted once for all sums, and once more for ``carry``, beside the texts.
     """
-    spark = docs.sparkSession
-    rows = docs.withColumn("__size", size(F.col("text")))
-    rows = rows.select(*(docs.columns if carry else ["doc_id"]), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("__source"), "__size")
-    per = rows.groupBy("__source").agg(F.sum("__size").alias("n")).collect()
-    sizes = {None if r["__source"] == "n" else r["__source"][1:]: r["n"] for r in per}
-    want = targets(sizes, weights, cap)
-    table = spark.createDataFrame(
-        [("n" if k is None else f"s{k}", sizes[k], want[k], want[k] / sizes[k] if sizes[k] else 0.0, offset(k, seed)) for k in sizes],
-        "__source string, __source_size long, __target double, __rate double, __offset double",
-    )
-    cell = ["__source", "__class", "__salt"]
-    rows = rows.withColumn("__class", size_class(F.col("__size"))).withColumn("__salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(salts)), F.lit(-1)).cast("int"))
-    before = Window.partitionBy("__source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    cells = cells.join(F.broadcast(table), "__source")
-    in_cell = Window.partitionBy(*cell).orderBy("__size", "doc_id")
-    rows = rows.withColumn("__rn", F.row_number().over(in_cell))
-    joined = rows.join(cells, cell)
-    at = lambda n: F.floor(n * F.col("__rate") + F.col("__offset"))
-    rank = F.col("__before") + F.col("__rn")
-    joined = joined.withColumn("__copies", (at(rank) - at(rank - 1)).cast("int"))
-    return joined.drop("__rn", "__before", "__rate", "__offset", *cell)
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size")]
+    small = stored(docs.select(*own), "mix-sizes")
+    per = stored(small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    salts = max(LEAST_SALTS, -(-(per.agg(F.sum("n")).first()[0] or 0) // SALT_ROWS))
+    want = targets(per.select("source", "source_size"), weights, cap)
+    want = want.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", offset(F.col("source"), seed))
+    # joins take the source with a letter before it, and one of its own for none
+    named = lambda df: df.withColumn("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    salt = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("long") % salts, F.lit(-1)).cast("int")
+    celled = lambda df: named(df).withColumn("class", size_class()).withColumn("salt", salt)
+    cell = ["source", "class", "salt"]
+    cells = stored(celled(small).groupBy(*cell).agg(F.count("*").alias("n")), "mix-cells")
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(upto("source", "class")), F.lit(0))).drop("n")
+    cells = cells.withColumn("within", F.coalesce(F.sum("n").over(upto(*cell)), F.lit(0))).drop("n")
+    cells = cells.join(classes, ["source", "class"]).join(broadcast_if_small(stored(named(want), "mix-targets"), 10_000), "source")
+    cells = cells.withColumn("before", F.col("below") + F.col("within")).drop("below", "within")
+    rows = celled(docs.select(whole_row(docs).alias("row"), *own, F.xxhash64("text").alias("tie")) if carry else small.withColumn("tie", F.lit(0)))
+    rows = rows.withColumn("no", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", "tie")))
+    at = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
+    rank = F.col("before") + F.col("no")
+    joined = rows.join(cells, cell).withColumn("copies", (at(rank) - at(rank - 1)).cast("int"))
+    return joined.select(*(["row"] if carry else []), "doc_id", "size", "source_size", "target", "copies")
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    mixed = mix(docs, **options).filter("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    mixed = mix(docs, **options).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unfolded(mixed, "row", docs.columns)
 
 
 ORACLE = """
@@ -118,8 +131,9 @@ r AS (
          row_number() OVER (PARTITION BY d.source ORDER BY
            CASE WHEN size = 0 THEN -1 ELSE (length(bin(size)) - 1) * 8 + (CASE WHEN length(bin(size)) > 4
              THEN size >> (length(bin(size)) - 4) ELSE size << (4 - length(bin(size))) END) % 8 END,
-           coalesce(doc_id % 64, -1), size, doc_id NULLS FIRST) AS i
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+           coalesce(('0x' || left(md5(doc_id::VARCHAR), 7))::BIGINT % z.salts, -1), size, doc_id NULLS FIRST) AS i
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source,
+       (SELECT greatest(64, ceil(count(*) / 100000.0)::BIGINT) AS salts FROM d) z)
 SELECT doc_id, size, source_size, target,
        (size * (floor(i * rate + u) - floor((i - 1) * rate + u)))::BIGINT AS taken
 FROM r
