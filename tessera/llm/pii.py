@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, row_key, stored
+from tessera.llm.common import broadcast_if_small, row_key, stored, unfolded, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -136,7 +136,7 @@ def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_sup
     # C(t, e) is at most C(e): a term in more documents than this cannot reach ``generalise``
     most = lambda n: F.lit(total) * F.pow(n / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)
     largest = n_e.agg(F.max("n_e")).first()[0] or 0
-    n_t = stored(n_t.filter(F.col("n_t") <= most(F.lit(float(largest)))), "pii-n-t")
+    n_t = n_t.filter(F.col("n_t") <= most(F.lit(float(largest))))
     rare = words.select("rk1", "rk2", "same", "term").distinct().join(n_t, "term").join(entities.join(n_e, "e"), ["rk1", "rk2"]).filter(F.col("n_t") <= most(F.col("n_e")))
     rare = stored(rare.select("rk1", "rk2", "same", "term", "e", "rows", "n_t", "n_e"), "pii-pairs")
     information = F.log2(F.lit(total) / F.col("n_e"))
@@ -188,11 +188,9 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     terms ``<TERM>``, and removed terms nothing. Overlapping spans: the one that starts first
     goes, the longer one at a tie."""
     found = find(docs, **options).select("rk1", "rk2", "spans").dropDuplicates(["rk1", "rk2"])
-    own = [c.alias(f"__{n}") for c, n in zip(row_key("doc_id", "text"), ("rk1", "rk2"), strict=True)]
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*docs.columns, *own)
-    found = found.select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"), F.col("spans").alias("__spans"))
-    rows = keyed.join(found, ["__rk1", "__rk2"], "left")
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    keyed = docs.select(whole_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"), *row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = keyed.join(found, ["rk1", "rk2"], "left")
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     marks = F.array(*(F.lit(x) for x in ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -202,4 +200,4 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
         return F.when(begin < acc["at"], acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], gap, F.element_at(marks, s["kind"] + 1)).alias("out")))
 
     done = F.aggregate(order, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.coalesce(done, F.col("text"))).select(*docs.columns)
+    return unfolded(rows, "row", docs.columns, text=F.coalesce(done, F.col("text")))
