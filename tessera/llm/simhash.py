@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_path, new_path, packed, row_key, spread, stored, unpacked
+from tessera.llm.common import drop_path, new_path, packed, released, row_key, small_batches, spread, stored, unfolded, unpacked, whole_row
 
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hashes whose bits are counted at a time.
@@ -50,10 +51,7 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     else:
         shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
     h = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), _BLOCK):
-        ones += np.unpackbits(h[at : at + _BLOCK, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return bits_of(h) & (1 << 64) - 1
 
 
 def _hash(data: bytes) -> int:
@@ -73,7 +71,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, the row's key and fp, a signed long, of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "doc_id long, rk1 long, rk2 long, fp long")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(released(_fingerprints(width)), "doc_id long, rk1 long, rk2 long, fp long")
 
 
 def variants(fp: np.ndarray, reach: int) -> np.ndarray:
@@ -124,9 +123,20 @@ def _keys(blocks: int, radius: int):
     return of
 
 
-def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
+def _alive(distinct: DataFrame, n: int, radius: int) -> DataFrame:
+    """Fingerprints that share the blocks of some choice with another one."""
+    bits = math.log2(max(n, 2)) + 10
+    blocks = next((b for b in range(radius + 3, 17) if 64 * (b - radius) / b >= bits), 16)
+    keyed = distinct.mapInArrow(released(_keys(blocks, radius)), "k long, m short, fp long")
+    # a fingerprint is alone in a key if the smallest and the largest there are the same
+    shared = keyed.groupBy("m", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("m", "k")
+    return keyed.join(stored(shared, "simhash-shared"), ["m", "k"], "left_semi").select("fp").distinct()
+
+
+def links(distinct: DataFrame, n: int, radius: int = 3, filtered: bool = True) -> DataFrame:
     """Verified links (a, b) between fingerprints at ``radius`` or fewer bits, enough of them to
     connect all that are linked. ``distinct`` has one column fp; ``n`` is its number of rows.
+    Unless ``filtered``, every fingerprint emits its ball.
 
     Of those that meet in a variant, the one nearest to it (at most 1 bit away) is linked to each
     of the others (at most 2 bits away): a star, not all pairs. Where all are 2 bits away, every
@@ -134,14 +144,9 @@ def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
     """
     if radius not in (2, 3):
         raise ValueError("radius must be 2 or 3")
-    bits = math.log2(max(n, 2)) + 10
-    blocks = next((b for b in range(radius + 3, 17) if 64 * (b - radius) / b >= bits), 16)
-    keyed = distinct.mapInArrow(_keys(blocks, radius), "k long, m short, fp long")
-    # a fingerprint is alone in a key if the smallest and the largest there are the same
-    shared = keyed.groupBy("m", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("m", "k")
-    alive = keyed.join(shared, ["m", "k"], "left_semi").select("fp").distinct()
+    alive = _alive(distinct, n, radius) if filtered else distinct
     # few rows that become many: spread them, whatever their size
-    emitted = spread(alive, "fp").mapInArrow(_emit(radius), "v long, away byte, fp long")
+    emitted = spread(alive, F.col("fp")).mapInArrow(released(_emit(radius)), "v long, away byte, fp long")
     # at most 65 odd and 2081 even values meet in a variant: the ball bounds the list, not the data
     met = emitted.groupBy("v").agg(F.min(F.struct("away", "fp")).alias("c"), F.collect_list("fp").alias("fps"))
     met = met.filter("size(fps) > 1 AND c.away <= 1").select(F.col("c.fp").alias("a"), F.explode("fps").alias("b"))
@@ -204,131 +209,194 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
 
 
-def prefix_length(n: int, similarity: float) -> tuple[int, int]:
-    """How many first hashes of a set of ``n`` are its prefix, and how many of them it shares at
-    least with a set that is alike. One more than cannot be common would do to share one; a tenth
-    of the set more asks for a tenth of the smallest set that can be alike."""
-    least = math.ceil(similarity * n - 1e-9)
-    return (min(n, n - least + 1 + n // 10), 1 + least // 10) if n else (0, 1)
+#: Bands of minimum hashes, and hashes in each: sets that are 0.8 alike share no band once in 3e7.
+BANDS, BAND_ROWS = 24, 3
+#: Bands that bring near copies together before the others are looked at.
+FIRST_BANDS = 4
+_ODD = np.random.default_rng(4).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes: of its least ones in several orders."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(len(_ODD), 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[at : at + 4096, None] * _ODD[None, :]).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+def bits_of(h: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        ones += np.unpackbits(h[at : at + _BLOCK, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def _prefixes(width: int, similarity: float):
+def _described(width: int):
     names = ["doc_id", "rk1", "rk2"]
 
     def of(batches):
         for batch in batches:
-            sid, prefix, need = [], [], []
+            sid, n, fp, keys = [], [], [], []
             for text in batch["text"]:
                 h = shingle_set(text.as_py(), width)
-                first, least = prefix_length(len(h), similarity)
-                need.append(least)
                 x = xxhash.xxh3_64_intdigest(h.tobytes())
                 sid.append(x - (1 << 64) if x >> 63 else x)
-                prefix.append(h[:first])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sid, pa.int64()), pa.array(need, pa.int32()), _lists(prefix)], [*names, "sid", "need", "prefix"])
+                n.append(len(h))
+                fp.append(bits_of(h))
+                keys.append(bands(h))
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), keys], [*names, "sid", "n", "fp", "bands"])
 
     return of
 
 
-def _shingle_sets(width: int):
-    """The set of each text, as its hashes."""
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
 
+def _alike(width: int, similarity: float):
     def of(batches):
+        known: dict[int, np.ndarray] = {}  # of the last ones met: pairs come with one end in common
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part["sid"], _lists([shingle_set(x, width) for x in unpacked(part["text"])])], ["sid", "set"])
+            ok = []
+            for a, b, text, other in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), unpacked(batch["text"]), unpacked(batch["other"]), strict=True):
+                for sid, t in ((a, text), (b, other)):
+                    if sid not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        known[sid] = shingle_set(t, width)
+                x, y = known.get(a), known.get(b)
+                ok.append(jaccard(shingle_set(text, width) if x is None else x, shingle_set(other, width) if y is None else y) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return of
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
+def _sets(width: int):
+    """The set of each text, as its hashes."""
 
-def _alike(similarity: float):
     def of(batches):
         for batch in batches:
-            ok = [jaccard(*(x.values.to_numpy(zero_copy_only=False) for x in both)) >= similarity for both in zip(batch["set"], batch["other"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for sid, text in zip(batch["sid"], unpacked(batch["text"]), strict=True):
+                h = shingle_set(text, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sid.as_py()), pa.int64()), pa.array(np.full(len(h), len(h)), pa.int32()), pa.array(h.view(np.int64))], ["sid", "n", "k"])
 
     return of
 
 
-def _possible(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of ``n`` hashes whose first common one is the ``at``-th may be alike."""
-    na, nb, left_a, left_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")
-    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (F.least(left_a, left_b) >= similarity / (1 + similarity) * (na + nb) - 1e-9)
+def _sizes_fit(a: Column, b: Column, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def rare_first(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(k, x: sid, n, at) of the texts (sid, text): shingles of a prefix of each set, rare ones
+    first. Sets that are alike share one of them, whatever the order is; in this one, what a
+    template has in common comes last, and nobody meets there."""
+    tokens = texts.mapInArrow(released(_sets(width)), "sid long, n int, k long")
+    often = stored(tokens.groupBy("k").agg(F.count("*").alias("often")).filter("often > 1"), "similar-often")
+    # shingles of one set only come first, and nobody is met there
+    known = tokens.join(often, "k").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("known"))
+    own = F.col("n") - F.size("known")
+    first = F.greatest(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own, F.lit(0)).cast("int")
+    members = known.select("sid", "n", own.alias("own"), F.posexplode(F.slice("known", F.lit(1), first)).alias("at", "t"))
+    return members.select(F.col("t.k").alias("k"), F.struct("sid", "n", (F.col("own") + F.col("at")).alias("at")).alias("x"))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 32) -> DataFrame:
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
-    Exact, by prefixes: whatever the order of all shingles, two sets that are alike share some of
-    their first ones. First the order of the hashes tells who shares enough; the others are done.
-    Among these, prefixes are taken anew with rare shingles first, so that what a template has in
-    common comes last, and sets meet in the shingles of their prefixes.
+    Sets whose SimHash fingerprints are within 3 bits are found by ball hashing, as above. Sets
+    that are 0.8 alike differ in some ten bits, so sets also meet in bands of minimum hashes; in
+    each band all are paired with the least set there, in a few bands first and then where a band
+    still holds several components. All pairs are compared, set with set, and components are
+    found. Near copies thus form a star.
 
-    Of those that meet in a shingle, each is compared with the least, and components are found;
-    then all that meet and are not yet in one component are compared with each other. Copies and
-    near copies thus form a star, and no link between components is left out.
+    What meets in a band and is still not in one component is compared with each other: in
+    bands of at most ``few`` sets directly, and in larger ones (texts of one template) where sets
+    share a shingle of their prefixes in the order of ``rare_first``, which loses no pair.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", *row_key("doc_id", "text"), F.col("text").cast("binary").alias("text"))
-    fps = stored(rows.mapInArrow(_prefixes(width, similarity), "doc_id long, rk1 long, rk2 long, sid long, need int, prefix array<long>"), "similar-fps")
-    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("need").alias("need"), F.first("prefix").alias("prefix")), "similar-nodes")
-    each = nodes.select("sid", "need", F.explode("prefix").alias("k"))
-    shared = stored(each.groupBy("k").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("k"), "similar-shared")
-    alive = each.join(shared, "k", "left_semi").groupBy("sid", "need").agg(F.count("*").alias("n")).filter("n >= need").select("sid")
-    asked = nodes.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(alive, "sid", "left_semi")
-    sets = packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).dropDuplicates(["sid"]).select("sid", "text")
-    sets = stored(sets.mapInArrow(_shingle_sets(width), "sid long, set array<long>"), "similar-sets")
-    tokens = sets.select("sid", F.size("set").alias("n"), F.explode("set").alias("k"))
-    often = stored(tokens.groupBy("k").agg(F.count("*").alias("often")).filter("often > 1"), "similar-often")
-    # shingles of one set only come first, and nobody is met there
-    known = tokens.join(often, "k").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("known"))
-    own = F.col("n") - F.size("known")
-    first = F.greatest(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own, F.lit(0)).cast("int")
-    members = known.select("sid", "n", own.alias("own"), F.posexplode(F.slice("known", F.lit(1), first)).alias("at", "t"))
-    members = stored(members.select(F.col("t.k").alias("k"), F.struct("sid", "n", (F.col("own") + F.col("at")).alias("at")).alias("x")), "similar-members")
-    centres = members.groupBy("k").agg(F.min("x").alias("c"), F.max("x.sid").alias("hi")).filter("c.sid != hi").select("k", "c")
-    star = members.join(stored(centres, "similar-centres"), "k").filter("x.sid != c.sid").filter(_possible("c", "x", similarity))
-    star = stored(star.select(F.col("c.sid").alias("a"), F.col("x.sid").alias("b")).distinct(), "similar-star")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("other")), "b")
-        return stored(pairs.select("a", "b", "set", "other").mapInArrow(_alike(similarity), "a long, b long"), "similar-links")
-
-    links = verified(star)
-    grouped = components(sets.select(F.col("sid").alias("fp"), F.col("sid").alias("label")), links).select(F.col("fp").alias("sid"), F.col("label").alias("group"))
-    apart = members.select("k", "x", F.col("x.sid").alias("sid")).join(grouped, "sid", "left").select("k", "x", F.coalesce("group", "sid").alias("group"))
-    apart = stored(apart, "similar-apart")
-    several = apart.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("k")
-    apart = apart.join(stored(several, "similar-several"), "k", "left_semi")
-    a, b = (apart.select("k", F.col("x").alias(n), F.col("group").alias(f"{n}_group")) for n in "ab")
-    rest = a.join(b, "k").filter("a_group < b_group").filter(_possible("a", "b", similarity))
-    rest = rest.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(verified(stored(rest, "similar-rest")))
-    found = components(nodes.select(F.col("sid").alias("fp"), "label"), links).withColumnRenamed("fp", "sid")
-    ids = nodes.select("sid", "label").join(found.withColumnRenamed("label", "first"), "sid", "left").select("sid", F.coalesce("first", "label").alias("label"))
+    fps = stored(rows.mapInArrow(released(_described(width)), "doc_id long, rk1 long, rk2 long, sid long, n int, fp long, bands array<long>"), "similar-fps")
+    nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
+    same = stored(nodes.groupBy("fp").agg(F.min("sid").alias("sid"), F.max("sid").alias("hi")), "similar-codes")
+    near = links(same.select("fp"), same.count()).join(same.select(F.col("fp").alias("a"), F.col("sid").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
+    near = near.union(nodes.select("fp", F.col("sid").alias("y")).join(same.filter("sid != hi").select("fp", F.col("sid").alias("x")), "fp").filter("x != y").select("x", "y"))
+    in_bands = lambda df, of: df.select(*(c for c in df.columns if c != "bands"), F.explode(of).alias("k"))
+    some = in_bands(nodes.select("sid", "n", "bands"), F.slice("bands", 1, FIRST_BANDS))
+    centres = some.groupBy("k").agg(F.min(F.struct("sid", "n")).alias("c"), F.max("sid").alias("hi")).filter("c.sid != hi").select("k", "c")
+    star = some.join(stored(centres, "similar-centres"), "k").filter("sid != c.sid").filter(_sizes_fit(F.col("n"), F.col("c.n"), similarity))
+    pairs = star.select(F.col("c.sid").alias("x"), F.col("sid").alias("y")).union(near)
+    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "similar-pairs")
+
+    def texts_of(sids: DataFrame) -> DataFrame:
+        """One text of each of these sets."""
+        asked = nodes.select("sid", F.col("label.rk1").alias("rk1"), F.col("label.rk2").alias("rk2")).join(sids.distinct(), "sid", "left_semi")
+        return stored(packed(rows.select("rk1", "rk2", "text")).join(asked, ["rk1", "rk2"]).dropDuplicates(["sid"]).select("sid", "text"), "similar-texts")
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b").join(texts.withColumnRenamed("sid", "a"), "a")
+        return stored(both.select("a", "b", "text", "other").mapInArrow(released(_alike(width, similarity)), "a long, b long"), "similar-links")
+
+    def grouped(df: DataFrame, found: DataFrame) -> DataFrame:
+        """``df`` with the component of each sid."""
+        of = components(nodes.select(F.col("sid").alias("fp"), F.col("sid").alias("label")), found).select(F.col("fp").alias("sid"), F.col("label").alias("group"))
+        return df.join(of, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+
+    found = verified(pairs, texts_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))))
+    every = in_bands(stored(grouped(nodes.select("sid", "n", "bands"), found), "similar-groups"), F.col("bands"))
+    mixed = every.groupBy("k").agg(F.min(F.struct("sid", "n", "group")).alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("held")).filter("lo != hi")
+    members = stored(every.join(stored(mixed.select("k", "c", "held"), "similar-mixed"), "k"), "similar-members")
+    if members.limit(1).count():
+        texts = texts_of(members.select("sid"))
+        more = members.filter("group != c.group").filter(_sizes_fit(F.col("n"), F.col("c.n"), similarity))
+        more = more.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = stored(more, "similar-more")
+        found, pairs = found.union(verified(more, texts)), pairs.union(more)
+        found = found.union(verified(_apart(grouped(members.select("k", "sid", "n", "held"), found), texts, pairs, lambda df: grouped(df, found), width, similarity, few), texts))
+    least = components(nodes.select(F.col("sid").alias("fp"), "label"), found).withColumnRenamed("fp", "sid")
+    ids = nodes.select("sid", "label").join(least.withColumnRenamed("label", "first"), "sid", "left").select("sid", F.coalesce("first", "label").alias("label"))
     return fps.select("doc_id", "rk1", "rk2", "sid").join(stored(ids, "similar-ids"), "sid")
 
 
+def _apart(members: DataFrame, texts: DataFrame, pairs: DataFrame, grouped: Callable[[DataFrame], DataFrame], width: int, similarity: float, few: int) -> DataFrame:
+    """(a, b) of the ``members`` (k, sid, n, held, group) that meet, are in different components
+    and were not among ``pairs``."""
+    apart = stored(members, "similar-apart")
+    split = stored(apart.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("k"), "similar-split")
+    apart = apart.join(split, "k", "left_semi")
+    little = apart.filter(F.col("held") <= few)
+    a, b = (little.select("k", F.col("sid").alias(n), F.col("n").alias(f"{n}_n"), F.col("group").alias(f"{n}_group")) for n in "ab")
+    rest = a.join(b, "k").filter("a_group < b_group").filter(_sizes_fit(F.col("a_n"), F.col("b_n"), similarity)).select("a", "b")
+    crowd = stored(apart.filter(F.col("held") > few).select("sid").distinct(), "similar-crowd")
+    if crowd.limit(1).count():
+        met = rare_first(texts.join(crowd, "sid", "left_semi"), width, similarity)
+        met = stored(grouped(met.select("k", "x", F.col("x.sid").alias("sid"))).select("k", "x", "group"), "similar-met")
+        split = stored(met.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("k"), "similar-met-split")
+        a, b = (met.join(split, "k", "left_semi").select("k", F.col("x").alias(n), F.col("group").alias(f"{n}_group")) for n in "ab")
+        left = lambda n: F.col(f"{n}.n") - F.col(f"{n}.at")
+        enough = F.least(left("a"), left("b")) >= similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9
+        rest = rest.union(a.join(b, "k").filter("a_group < b_group").filter(_sizes_fit(F.col("a.n"), F.col("b.n"), similarity) & enough).select("a.sid", "b.sid"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return stored(rest, "similar-rest")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of similar ones, the first by doc_id; of rows
     that repeat it, one stays. Texts meet the keys of rows that go, nothing else."""
-    own = [c.alias(f"__{n}") for c, n in zip(row_key("doc_id", "text"), ("rk1", "rk2"), strict=True)]
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*docs.columns, *own)
+    keyed = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     marked = stored(similar_documents(docs, width, similarity).groupBy("rk1", "rk2").agg(F.count("*").alias("n"), F.first(F.struct("rk1", "rk2") == F.struct("label.rk1", "label.rk2")).alias("stays")), "similar-marks")
-    go = marked.filter("NOT stays").select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"))
-    kept = keyed.join(go, ["__rk1", "__rk2"], "left_anti")
+    kept = keyed.join(marked.filter("NOT stays").select("rk1", "rk2"), ["rk1", "rk2"], "left_anti")
     if marked.filter("stays AND n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__rk1", "__rk2"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["rk1", "rk2"])
+    return unfolded(kept, "row", docs.columns)
