@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation around what they find.
 
 Protected entities are the values that the patterns find (e-mail addresses, IP addresses, card
-and phone numbers). A term (a lower-cased run of at least ``min_letters`` letters) that stands in
+and phone numbers, and secrets: runs of 16 letters and digits or more, both mixed). A term (a lower-cased run of at least ``min_letters`` letters) that stands in
 the same document as an entity may reveal it. Corpus co-occurrence says how strongly: with N
 documents, C(e) of them with the entity, C(t) with the term and C(t, e) with both,
 
@@ -23,7 +23,7 @@ Positions are code points, from 0, end exclusive. Everything here is DataFrame f
 
 Defined results: null text is empty; failing matches (an IP part over 255, a wrong check digit, a
 wrong number of digits) are dropped without another try; rows that repeat get equal results; an
-empty table gives no rows.
+empty table gives no rows; other columns of sanitised rows come back whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, row_key, stored, unfolded, whole_row
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the contract come first.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
 
 # The patterns of the contract, with possessive quantifiers and look-behind where the leftmost
 # match cannot differ: they keep long runs of letters or digits from being tried at each start.
@@ -44,9 +46,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
 }
 #: What a text must hold for a pattern to be tried.
-_HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+_HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+", "secret": ""}
 _WORDS = r"\p{L}+"
 
 
@@ -67,21 +70,29 @@ def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}\z")
     n = F.length(_digits(match))
+    if kind == "secret":
+        return (n >= 2) & (F.length(match) - n >= 2)
     if kind == "card":
         return F.when((n >= 13) & (n <= 19), luhn(_digits(match))).otherwise(False)
     return (n >= 9) & (n <= 15)
 
 
-def _located(rows: DataFrame, text: str, pattern: str) -> DataFrame:
-    """One row per match of ``pattern``: ``start, end, value``, beside the other columns of
-    ``rows``, which needs a column ``uid`` that tells rows apart. Lengths of what lies between
-    matches and of the matches themselves are summed up along the text."""
-    keep = [c for c in rows.columns if c != text]
-    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    rows = rows.select(*keep, F.posexplode(F.arrays_zip(pieces.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))).alias("at", "m"))
-    rows = rows.select(*keep, "at", F.col("m.gap").alias("gap"), F.col("m.value").alias("value")).filter("value IS NOT NULL")
-    upto = Window.partitionBy("uid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("value")).over(upto)
+def _matches(text: Column, pattern: str) -> Column:
+    """What ``pattern`` finds, each with the length of what lies before it: (gap, value)."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    return F.filter(F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value")), lambda m: m["value"].isNotNull())
+
+
+def _located(rows: DataFrame, found: str) -> DataFrame:
+    """One row per match of column ``found``: ``start, end, value``, beside the other columns of
+    ``rows``, which together tell texts apart. Lengths of what lies between matches and of the
+    matches themselves are summed up along the text; rows that repeat are summed up together, and
+    the sum divided."""
+    keep = [c for c in rows.columns if c != found]
+    rows = rows.select(*keep, F.posexplode(found).alias("at", "m")).select(*keep, "at", F.col("m.gap").alias("gap"), F.col("m.value").alias("value"))
+    along = Window.partitionBy(*keep).orderBy("at")
+    upto = F.sum(F.col("gap") + F.length("value")).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    end = (upto / F.count("*").over(along.rangeBetween(Window.currentRow, Window.currentRow))).cast("long")
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).drop("at", "gap")
 
 
@@ -93,18 +104,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def base_spans(keyed: DataFrame) -> DataFrame:
     """(rk1, rk2, kind, start, end, value) of all valid matches, each row's once."""
     marked = keyed.filter(F.col("text").rlike("[0-9@]"))
-    found = None
+    text, tried = F.col("text"), []
     for no, kind in enumerate(KINDS):
-        hit = marked.filter(F.contains("text", F.lit(_HINTS[kind]))) if _HINTS[kind] else marked
-        hit = hit.filter(F.col("text").rlike(PATTERNS[kind])).select("rk1", "rk2", "text", F.monotonically_increasing_id().alias("uid"))
-        one = _located(hit, "text", PATTERNS[kind]).filter(valid(kind, F.col("value"))).select("rk1", "rk2", F.lit(no).alias("kind"), "start", "end", "value")
-        found = one if found is None else found.unionByName(one)
-    return found.dropDuplicates(["rk1", "rk2", "kind", "start"])
+        there = text.rlike(PATTERNS[kind])
+        there = F.contains(text, F.lit(_HINTS[kind])) & there if _HINTS[kind] else there
+        tried.append(F.struct(F.lit(no).alias("kind"), F.when(there, _matches(text, PATTERNS[kind])).alias("found")))
+    each = marked.select("rk1", "rk2", F.explode(F.filter(F.array(*tried), lambda x: x["found"].isNotNull())).alias("x"))
+    spans = _located(each.select("rk1", "rk2", F.col("x.kind").alias("kind"), F.col("x.found").alias("found")), "found")
+    right = F.lit(False)
+    for no, kind in reversed(list(enumerate(KINDS))):
+        right = F.when(F.col("kind") == no, valid(kind, F.col("value"))).otherwise(right)
+    return spans.filter(right).dropDuplicates(["rk1", "rk2", "kind", "start"])
 
 
 def _words(held: DataFrame, min_letters: int) -> DataFrame:
     """(rk1, rk2, same, term, start, end) of the words that no entity of ``found`` overlaps."""
-    words = _located(held.drop("found").withColumn("uid", F.struct("rk1", "rk2")), "text", _WORDS).filter(F.length("value") >= min_letters)
+    words = _located(held.select("rk1", "rk2", "same", _matches(F.col("text"), _WORDS).alias("word")), "word").filter(F.length("value") >= min_letters)
     words = words.select("rk1", "rk2", "same", "start", "end", F.lower("value").alias("term"))
     marks = held.select("rk1", "rk2", "same", F.explode("found").alias("f")).select("rk1", "rk2", "same", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), F.lit(None).cast("string").alias("term"))
     # an entity that starts with or before a word and ends behind its start, or starts within it
@@ -175,11 +190,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, counts per kind, digest of the patterns' spans, and all spans as text."""
     found = find(docs, **options)
     count = lambda no: F.size(F.filter("spans", lambda s: s["kind"] == no)).cast("long")
-    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
+    base = F.filter("spans", lambda s: s["kind"] < BASE)
     return found.select(
-        "doc_id", *(count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS)),
+        "doc_id", *(count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS[:BASE])),
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
-        (count(len(KINDS)) + count(len(KINDS) + 1)).alias("n_terms"),
+        (count(len(KINDS)) + count(len(KINDS) + 1)).alias("n_terms"), count(BASE).alias("n_secret"),
     )
 
 
@@ -191,7 +206,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.select(whole_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"), *row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     rows = keyed.join(found, ["rk1", "rk2"], "left")
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    marks = F.array(*(F.lit(x) for x in ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")))
+    marks = F.array(*(F.lit(x) for x in ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<SECRET>", "<TERM>", "")))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):

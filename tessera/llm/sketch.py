@@ -7,7 +7,7 @@ sketch of a union is the k smallest of both. Two sketches estimate resemblance (
 smallest of the union that both hold), containment and the number of different shingles.
 
 Everything is DataFrame functions: the hashes of a text are made within one row, the next
-document is found by a window inside ranges of doc_id.
+document is found by windows inside ranges of doc_id, as many as the documents need.
 
 Defined results: null text is empty; without words the sketch is empty (two such documents are
 alike with 1, one such and another with 0); documents stand in falling order of doc_id, null
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_GAP
+from tessera.llm.common import WORD_GAP, broadcast_if_small, stored
 
 #: Hashes keep this many bits: positive longs.
 BITS = 48
@@ -80,37 +80,62 @@ def containment(a: Column, b: Column, k: int) -> Column:
 
 def encode(a: Column) -> Column:
     """Text of a sketch: base64 of its 6-byte hashes."""
-    return F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), BITS // 4, "0")), "")))
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), BITS // 4, "0")), ""))), "\r\n", "")
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2_000) -> tuple[DataFrame, WindowSpec]:
+def _ranged(rows: DataFrame, rows_per_range: int, coarse: int) -> DataFrame:
+    """``rows`` (doc_id, text, h) with the range (``q, sub``) that each is in; ranges stand in the
+    order of documents. The driver gathers ``coarse`` borders at most, values of doc_id that
+    occur, which cut the rows into parts; a part is cut evenly, by doc_id, or by the hash of the
+    text where it holds a single doc_id or none."""
+    n, least, most = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    if most is None:
+        return rows.withColumn("q", F.lit(0)).withColumn("sub", _share(F.col("h"), -(-n // rows_per_range)))
+    parts = max(1, min(coarse, n // rows_per_range))
+    found = rows.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    single = {v for v in found if found.count(v) > 1}  # enough rows for a border more than once
+    borders = sorted({v for v in (*found, *(v - 1 for v in single), most) if least <= v <= most})
+    lower = [least - 1, *borders[:-1]]
+    rank = _rank(F.col("doc_id"), borders[:-1])
+    at = lambda values: F.element_at(F.lit([float(v) for v in values]), rank + 1)
+    even = max(1, -(-n // (parts * rows_per_range)))
+    place = (at(borders) - F.col("doc_id").cast("double")) / (at(borders) - at(lower)) * even
+    place = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(even - 1)).cast("long")
+    by_text = F.col("doc_id").isNull() | F.col("doc_id").isin(sorted(single)) if single else F.col("doc_id").isNull()
+    sub = F.when(by_text, _share(F.col("h"), -(-n // rows_per_range))).otherwise(place)
+    return rows.withColumn("q", F.when(F.col("doc_id").isNull(), len(borders)).otherwise(len(borders) - 1 - rank).cast("int")).withColumn("sub", sub)
+
+
+def _share(h: Column, shares: int) -> Column:
+    return F.least(F.floor((h.cast("double") / float(1 << 64) + 0.5) * max(1, shares)), F.lit(max(1, shares) - 1)).cast("long")
+
+
+def with_next(docs: DataFrame, rows_per_range: int = 2_000, coarse: int = 1024, broadcast_rows: int = 100_000) -> tuple[DataFrame, WindowSpec]:
     """(doc_id, text, ghost, next_text): each document with the text of the one after it, and the
     window in which ``lead`` finds what else is wanted of that one. Rows marked ``ghost`` are
     copies that only serve as the next of a range's last row; drop them after use.
 
-    doc_ids are cut into ranges at values that occur; the documents at such a value are also sent
-    to the range above, as what follows its last. Each range is a window of its own, so no task
-    needs all rows. The driver gathers the borders: one per ``rows_per_range`` documents, 1024 at
-    most.
+    Documents are cut into ranges of about ``rows_per_range``, however many they are, and each is
+    a window of its own. The first row of a range is also sent to the range before it. What the
+    driver gathers is a row for each of the ``coarse`` parts at most.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, least, most = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, min(1024, n // rows_per_range))
-    borders: list[int] = []
-    if most is not None:
-        found = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-        borders = sorted({*found} - {most}) + [most]
-    # range i holds what is at most borders[i] and above the border before; null comes last of all
-    if borders:
-        own = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), borders[:-1]))
-        # the first of a range follows the last of the range above; the first of all, the last
-        first = F.array_position(F.array(*(F.lit(b) for b in borders)), F.col("doc_id"))
-        after = F.when(first == len(borders), F.lit(0)).when(first > 0, first.cast("int"))
-    else:
-        own, after = F.lit(0), F.lit(0)
-    spots = F.filter(F.array(F.struct(own.cast("int").alias("range"), F.lit(False).alias("ghost")), F.struct(after.cast("int").alias("range"), F.lit(True).alias("ghost"))), lambda s: s["range"].isNotNull())
-    dealt = rows.withColumn("spot", F.explode(spots)).select("doc_id", "text", "spot.range", "spot.ghost")
-    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    rows = _ranged(rows.withColumn("h", F.xxhash64("text")), rows_per_range, coarse)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.expr("~doc_id").alias("down"), "h")
+    firsts = stored(rows.groupBy("q", "sub").agg(F.min(key).alias("key")), "sketch-firsts")
+    last_of = {r["q"]: r["last"] for r in firsts.groupBy("q").agg(F.max("sub").alias("last")).collect()}
+    qs = sorted(last_of)
+    before = {q: (qs[i - 1], last_of[qs[i - 1]]) for i, q in enumerate(qs)}  # the first follows the last
+    own = F.lag("sub").over(Window.partitionBy("q").orderBy("sub"))
+    place = [(q, *before[q]) for q in qs]
+    place = docs.sparkSession.createDataFrame(place, "q int, other_q int, other_sub long")
+    firsts = firsts.withColumn("own", own).join(F.broadcast(place), "q")
+    to = F.when(F.col("own").isNotNull(), F.struct(F.col("q"), F.col("own").alias("sub"))).otherwise(F.struct(F.col("other_q").alias("q"), F.col("other_sub").alias("sub")))
+    firsts = firsts.select(to.alias("to"), "key")
+    firsts = broadcast_if_small(stored(firsts.groupBy("key").agg(F.first("to").alias("to")), "sketch-borders"), broadcast_rows)
+    spots = F.filter(F.array(F.struct("q", "sub", F.lit(False).alias("ghost")), F.struct("to.q", "to.sub", F.lit(True).alias("ghost"))), lambda s: s["q"].isNotNull())
+    dealt = rows.withColumn("key", key).join(firsts, "key", "left").withColumn("spot", F.explode(spots)).select("doc_id", "text", "h", "spot.q", "spot.sub", "spot.ghost")
+    order = Window.partitionBy("q", "sub").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)), order
 
 
