@@ -14,10 +14,9 @@ A term is generalised (kind ``term``) where the share reaches ``generalise``, an
 many different texts, so copies of one text prove nothing; with 1, every pair is rated. Spans are
 marked in the whole document that holds the entity.
 
-Counts cover all documents. A term in more documents than the largest share allows is left out
-before pairs are made. Terms are counted by exploding each document's distinct words and joining
-the candidates; only sums per term are shuffled, or, where candidates are many, sums
-per word.
+Counts cover all documents. Equal texts are worked on once and count as often as they stand. A
+term in more documents than the entities of its text allow is left out before pairs are made.
+Terms are counted by exploding each document's distinct words; only sums per word are shuffled.
 
 Positions are code points, from 0, end exclusive. Everything here is DataFrame functions.
 
@@ -85,24 +84,22 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def _located(rows: DataFrame, found: str) -> DataFrame:
     """One row per match of column ``found``: ``start, end, value``, beside the other columns of
-    ``rows``, which together tell texts apart. Lengths of what lies between matches and of the
-    matches themselves are summed up along the text; rows that repeat are summed up together, and
-    the sum divided."""
+    ``rows``, which together tell texts apart; rows that repeat answer once. Lengths of what lies
+    between matches and of the matches themselves are summed up along the text."""
     keep = [c for c in rows.columns if c != found]
-    rows = rows.select(*keep, F.posexplode(found).alias("at", "m")).select(*keep, "at", F.col("m.gap").alias("gap"), F.col("m.value").alias("value"))
-    along = Window.partitionBy(*keep).orderBy("at")
-    upto = F.sum(F.col("gap") + F.length("value")).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    end = (upto / F.count("*").over(along.rangeBetween(Window.currentRow, Window.currentRow))).cast("long")
+    rows = rows.select(*keep, F.posexplode(found).alias("at", "m")).select(*keep, "at", F.col("m.gap").alias("gap"), F.col("m.value").alias("value")).distinct()
+    end = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy(*keep).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).drop("at", "gap")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("raw"))
-    return rows.select("doc_id", *row_key("doc_id", "raw"), F.coalesce("raw", F.lit("")).alias("text"))
+    """doc_id and text of each document, and a key of 128 bits for its text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", *row_key("text"), "text")
 
 
 def base_spans(keyed: DataFrame) -> DataFrame:
-    """(rk1, rk2, kind, start, end, value) of all valid matches, each row's once."""
+    """(rk1, rk2, kind, start, end, value) of all valid matches, each text's once."""
     marked = keyed.filter(F.col("text").rlike("[0-9@]"))
     text, tried = F.col("text"), []
     for no, kind in enumerate(KINDS):
@@ -118,10 +115,10 @@ def base_spans(keyed: DataFrame) -> DataFrame:
 
 
 def _words(held: DataFrame, min_letters: int) -> DataFrame:
-    """(rk1, rk2, same, term, start, end) of the words that no entity of ``found`` overlaps."""
-    words = _located(held.select("rk1", "rk2", "same", _matches(F.col("text"), _WORDS).alias("word")), "word").filter(F.length("value") >= min_letters)
-    words = words.select("rk1", "rk2", "same", "start", "end", F.lower("value").alias("term"))
-    marks = held.select("rk1", "rk2", "same", F.explode("found").alias("f")).select("rk1", "rk2", "same", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), F.lit(None).cast("string").alias("term"))
+    """(rk1, rk2, term, start, end) of the words that no entity of ``found`` overlaps."""
+    words = _located(held.select("rk1", "rk2", _matches(F.col("text"), _WORDS).alias("word")), "word").filter(F.length("value") >= min_letters)
+    words = words.select("rk1", "rk2", "start", "end", F.lower("value").alias("term"))
+    marks = held.select("rk1", "rk2", F.explode("found").alias("f")).select("rk1", "rk2", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), F.lit(None).cast("string").alias("term"))
     # an entity that starts with or before a word and ends behind its start, or starts within it
     row = Window.partitionBy("rk1", "rk2")
     mark = F.col("term").isNull()
@@ -132,33 +129,28 @@ def _words(held: DataFrame, min_letters: int) -> DataFrame:
 
 
 def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, broadcast_rows: int = 200_000) -> DataFrame:
-    """(rk1, rk2, kind, start, end) of terms that disclose an entity of their document."""
+    """(rk1, rk2, kind, start, end) of terms that disclose an entity of their text."""
     total = float(max(keyed.count(), 1))
     per_row = spans.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("start", "end", "kind", "value")).alias("found"))
     held = keyed.filter(F.col("text").rlike("[0-9@]")).join(per_row, ["rk1", "rk2"])
-    # rows that repeat are one here, and count as many as they are below
-    held = held.select("rk1", "rk2", "found", F.xxhash64("text").alias("same"), "text").dropDuplicates(["rk1", "rk2"])
+    held = held.select("rk1", "rk2", "found", "text").dropDuplicates(["rk1", "rk2"])
     words = stored(_words(held, min_letters), "pii-words")
     repeats = keyed.select("rk1", "rk2").join(spans.select("rk1", "rk2").distinct(), ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.count("*").alias("rows"))
     entities = stored(spans.select("rk1", "rk2", F.struct("kind", "value").alias("e")).distinct().join(repeats, ["rk1", "rk2"]), "pii-entities")
     n_e = stored(entities.groupBy("e").agg(F.sum("rows").alias("n_e")), "pii-n-e")
-    terms = stored(words.select("term").distinct(), "pii-terms")
     vocabulary = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{min_letters},}}"), 0))).alias("term"))
-    if terms.count() <= broadcast_rows:
-        n_t = vocabulary.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        n_t = vocabulary.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    n_t = vocabulary.groupBy("term").agg(F.count("*").alias("n_t")).join(words.select("term").distinct(), "term")
     # C(t, e) is at most C(e): a term in more documents than this cannot reach ``generalise``
-    most = lambda n: F.lit(total) * F.pow(n / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)
-    largest = n_e.agg(F.max("n_e")).first()[0] or 0
-    n_t = n_t.filter(F.col("n_t") <= most(F.lit(float(largest))))
-    rare = words.select("rk1", "rk2", "same", "term").distinct().join(n_t, "term").join(entities.join(n_e, "e"), ["rk1", "rk2"]).filter(F.col("n_t") <= most(F.col("n_e")))
-    rare = stored(rare.select("rk1", "rk2", "same", "term", "e", "rows", "n_t", "n_e"), "pii-pairs")
+    entities = stored(entities.join(n_e, "e").withColumn("most", F.lit(total) * F.pow(F.col("n_e") / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)), "pii-rare")
+    reach = entities.groupBy("rk1", "rk2").agg(F.max("most").alias("reach"))
+    own = words.select("rk1", "rk2", "term").distinct().join(reach, ["rk1", "rk2"])
+    own = own.join(stored(n_t, "pii-n-t").withColumnRenamed("term", "t"), (F.col("term") == F.col("t")) & (F.col("n_t") <= F.col("reach"))).select("rk1", "rk2", "term", "n_t")
+    rare = own.join(entities, ["rk1", "rk2"]).filter(F.col("n_t") <= F.col("most"))
+    rare = stored(rare.select("rk1", "rk2", "term", "e", "rows", "n_t", "n_e"), "pii-pairs")
     information = F.log2(F.lit(total) / F.col("n_e"))
     pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
-    texts = F.countDistinct("same") if min_support > 1 else F.lit(1)
-    rated = rare.groupBy("term", "e").agg(F.sum("rows").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), texts.alias("texts")).filter(F.col("texts") >= min_support)
+    rated = rare.groupBy("term", "e").agg(F.sum("rows").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= min_support)
     rated = broadcast_if_small(stored(rated.select("term", "e", share.alias("share")).filter(F.col("share") >= generalise), "pii-rated"), broadcast_rows)
     told = rare.select("rk1", "rk2", "term", "e").join(rated, ["term", "e"]).groupBy("rk1", "rk2", "term").agg(F.max("share").alias("share"))
     hit = words.join(told, ["rk1", "rk2", "term"])
@@ -183,7 +175,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     every = base.select("rk1", "rk2", "kind", "start", "end").unionByName(more)
     spans = every.groupBy("rk1", "rk2").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")
-    return keyed.select("doc_id", "rk1", "rk2").join(spans, ["rk1", "rk2"], "left").select("doc_id", "rk1", "rk2", F.coalesce("spans", none).alias("spans"))
+    return keyed.select("doc_id", "rk1", "rk2").join(stored(spans, "pii-spans"), ["rk1", "rk2"], "left").select("doc_id", "rk1", "rk2", F.coalesce("spans", none).alias("spans"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -203,7 +195,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     terms ``<TERM>``, and removed terms nothing. Overlapping spans: the one that starts first
     goes, the longer one at a tie."""
     found = find(docs, **options).select("rk1", "rk2", "spans").dropDuplicates(["rk1", "rk2"])
-    keyed = docs.select(whole_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"), *row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = docs.select(whole_row(docs, "text").alias("row"), F.col("text").cast("string").alias("text"), *row_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = keyed.join(found, ["rk1", "rk2"], "left")
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     marks = F.array(*(F.lit(x) for x in ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<SECRET>", "<TERM>", "")))

@@ -209,8 +209,8 @@ def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
 
 
-#: Bands of minimum hashes, and hashes in each: sets that are 0.8 alike share no band once in 3e7.
-BANDS, BAND_ROWS = 24, 3
+#: Bands of minimum hashes, and hashes in each: sets that are 0.8 alike share no band once in 2e7.
+BANDS, BAND_ROWS = 32, 4
 #: Bands that bring near copies together before the others are looked at.
 FIRST_BANDS = 4
 _ODD = np.random.default_rng(4).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
