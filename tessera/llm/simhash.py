@@ -310,7 +310,7 @@ def rare_first(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     return members.select(F.col("t.k").alias("k"), F.struct("sid", "n", (F.col("own") + F.col("at")).alias("at")).alias("x"))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 32) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = 8) -> DataFrame:
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
