@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import Graph, Sizes
 
 _SCHEMA = "s string, o string, p_id int"
+#: Predicates that are broadcast at most; beyond, the join shuffles.
+MOST_BROADCAST = 100_000
+
+
+def _named(rows: DataFrame, predicates: DataFrame, n: int) -> DataFrame:
+    ids = F.broadcast(predicates) if n <= MOST_BROADCAST else predicates
+    return rows.join(ids, "p_id").select("s", "p", "o")
 
 
 def save(triples: DataFrame, path: str) -> None:
@@ -18,7 +25,7 @@ def save(triples: DataFrame, path: str) -> None:
     names = [r["p"] for r in triples.select("p").distinct().orderBy("p").collect()]
     predicates = spark.createDataFrame(list(enumerate(names)), "p_id int, p string")
     predicates.coalesce(1).write.mode("errorifexists").parquet(f"{path}/predicates")
-    ids = F.broadcast(predicates) if len(names) <= 100_000 else predicates
+    ids = F.broadcast(predicates) if len(names) <= MOST_BROADCAST else predicates
     rows = triples.join(ids, "p").select("s", "o", "p_id")
     rows.repartitionByRange("p_id", "s").sortWithinPartitions("p_id", "s", "o").write.partitionBy("p_id").parquet(f"{path}/triples")
     own = open_triples(spark, path)
@@ -30,7 +37,7 @@ def save(triples: DataFrame, path: str) -> None:
 def open_triples(spark: SparkSession, path: str) -> DataFrame:
     predicates = spark.read.parquet(f"{path}/predicates")
     rows = spark.read.schema(_SCHEMA).parquet(f"{path}/triples")
-    return rows.join(F.broadcast(predicates), "p_id").select("s", "p", "o")
+    return _named(rows, predicates, predicates.count())
 
 
 def open_graph(spark: SparkSession, path: str) -> Graph:
@@ -61,7 +68,7 @@ class StoredGraph(Graph):
         for name, term in (("s", s), ("o", o)):
             rows = rows if term is None else rows.filter(F.col(name) == term)
         names = self.spark.read.parquet(f"{self.path}/predicates")
-        return rows.join(F.broadcast(names), "p_id").select("s", "p", "o")
+        return _named(rows, names, len(self._numbers))
 
     def counters(self) -> dict[str, int]:
         return self.spark.read.parquet(f"{self.path}/counters").first().asDict()
