@@ -5,6 +5,8 @@
     python -m tessera train  -d NAME -f QUERIES -m MODEL.json
     python -m tessera test   -d NAME -f QUERIES -m MODEL.json
     python -m tessera server [--host H] [--port P]
+
+``-t`` is the number of threads where Spark runs in this process; a cluster has its own.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("-d", "--database")
     parser.add_argument("-f", "--file")
     parser.add_argument("-m", "--model", default="order.json")
+    parser.add_argument("-t", "--threads", type=int)
     parser.add_argument("--root", default="databases")
     parser.add_argument("--host", default="127.0.0.1")
     parser.add_argument("--port", type=int, default=8080)
     a = parser.parse_args(args)
     if a.command != "server" and not (a.database and a.file):
         parser.error(f"{a.command} needs -d and -f")
-    spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
+    if spark is None:
+        builder = SparkSession.builder.appName("tessera")
+        spark = (builder.master(f"local[{a.threads}]") if a.threads else builder).getOrCreate()
     db = GraphDatabase(spark, a.root)
     if a.command == "server":
         from tessera.service.http import serve

@@ -7,6 +7,7 @@ multiplied. Keys stay typed as long as all that meet are of one kind.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -90,7 +91,11 @@ class Matcher:
         return [self._sized(p, b) for p, b in found]
 
     def _branches(self, p: Pattern) -> list[Edges]:
-        own = self.graph.edges(p.p.text) if isinstance(p.p, Term) else [e for es in self.graph.by_predicate.values() for e in es]
+        if isinstance(p.p, Term):
+            own = self.graph.edges(p.p.text)
+        else:
+            whole = self.graph.whole()
+            own = [e for es in self.graph.by_predicate.values() for e in es] if whole is None else [whole]
         ok = lambda e: all(not isinstance(n, Term) or k.key(n.text) is not None for n, k in ((p.s, e.s_kind), (p.o, e.o_kind)))
         loop = lambda e: p.s == p.o and isinstance(p.s, Var) and e.s_kind.disjoint(e.o_kind)
         return [e for e in own if ok(e) and not loop(e)]
@@ -112,7 +117,7 @@ class Matcher:
             own = n.edges / (max(n.subjects, 1) if isinstance(p.s, Term) else 1) / (max(n.objects, 1) if isinstance(p.o, Term) else 1)
             own = own / max(n.subjects, n.objects, 1) if p.s == p.o and isinstance(p.s, Var) else own
             rows += own
-            for node, most in ((p.s, n.subjects), (p.o, n.objects), (p.p, 1.0)):
+            for node, most in ((p.s, n.subjects), (p.o, n.objects), (p.p, n.predicates)):
                 if isinstance(node, Var):
                     values[node.name] += min(most, own)
         return Access(p, branches, rows, values)
@@ -133,7 +138,7 @@ class Matcher:
                 if isinstance(node, Term):
                     df = df.filter(F.col(name) == F.lit(kind.key(node.text)))
             slots: dict[str, list[tuple[Column, Kind]]] = {}
-            for node, value, kind in ((p.s, F.col("s"), e.s_kind), (p.p, F.lit(e.predicate), TERM), (p.o, F.col("o"), e.o_kind)):
+            for node, value, kind in ((p.s, F.col("s"), e.s_kind), (p.p, F.col("p") if e.predicate is None else F.lit(e.predicate), TERM), (p.o, F.col("o"), e.o_kind)):
                 if isinstance(node, Var):
                     slots.setdefault(node.name, []).append((value, kind))
             for same in slots.values():
@@ -285,18 +290,24 @@ class Matcher:
         b = self.group(Group(group.patterns, inside, group.optionals))
         a, b, shared = self._aligned(a, b)
         df = b.df.select(*(F.col(c).alias(f"r_{c}") for c in b.kinds))
-        condition = F.lit(True)
-        for c in shared:
-            same = F.col(c) == F.col(f"r_{c}")
-            if c in a.nullable:
-                same = same | F.col(c).isNull()
-            if c in b.nullable:
-                same = same | F.col(f"r_{c}").isNull()
-            condition = condition & same
         both = Relation(a.df, {**b.kinds, **a.kinds})
-        for t in across:
-            condition = condition & self.test(t, both, {c: f"r_{c}" for c in b.kinds if c not in a.kinds})
-        joined = a.df.join(df, condition, "left")
+        # rows are told apart by which of their shared variables are bound: on those, the join
+        # stays one of equal keys, and an unbound one agrees with anything
+        maybe = [c for c in shared if c in a.nullable]
+        joined = None
+        for unbound in (set(x) for n in range(len(maybe) + 1) for x in itertools.combinations(maybe, n)):
+            rows = a.df
+            for c in maybe:
+                rows = rows.filter(F.col(c).isNull() if c in unbound else F.col(c).isNotNull())
+            condition = F.lit(True)
+            for c in shared:
+                if c not in unbound:
+                    same = F.col(c) == F.col(f"r_{c}")
+                    condition = condition & (same | F.col(f"r_{c}").isNull() if c in b.nullable else same)
+            for t in across:
+                condition = condition & self.test(t, both, {c: f"r_{c}" for c in b.kinds if c not in a.kinds})
+            found = rows.join(df, condition, "left")
+            joined = found if joined is None else joined.union(found)
         new = [c for c in b.kinds if c not in a.kinds]
         columns = [(F.coalesce(F.col(c), F.col(f"r_{c}")) if c in shared else F.col(c)).alias(c) for c in a.kinds]
         out = joined.select(*columns, *(F.col(f"r_{c}").alias(c) for c in new))

@@ -4,20 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.kinds import TERM, Kind
+from tessera.sources.fs import written
+
+T = TypeVar("T")
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Number of edges, different subjects and different objects; exact or estimated."""
+    """Number of edges, different subjects and different objects, and of predicates that these
+    are edges of; exact or estimated."""
 
     edges: float
     subjects: float
     objects: float
+    predicates: float = 1.0
+
+    @staticmethod
+    def total(sizes: Iterable[Sizes]) -> Sizes:
+        """Of several predicates together; ends count as often as predicates have them."""
+        own = list(sizes)
+        return Sizes(*(float(sum(x)) for x in zip(*((n.edges, n.subjects, n.objects, n.predicates) for n in own), strict=True))) if own else Sizes(0.0, 0.0, 0.0, 0.0)
 
 
 @dataclass(frozen=True)
@@ -34,9 +46,10 @@ class Star:
 @dataclass(frozen=True)
 class Edges:
     """The edges of a predicate between two kinds of nodes: a set of (s, o) keys. The DataFrame
-    and the sizes are made when asked for, so unused predicates cost nothing."""
+    and the sizes are made when asked for, so unused predicates cost nothing. Without a
+    ``predicate``, these are the edges of all, and a column p tells which."""
 
-    predicate: str
+    predicate: str | None
     s_kind: Kind
     o_kind: Kind
     make: Callable[[], DataFrame]
@@ -66,16 +79,16 @@ class Graph:
         if predicates is None:
             predicates = [r["p"] for r in triples.select("p").distinct().collect()]
 
-        def edges(p: str) -> Edges:
-            own = triples.filter(F.col("p") == p).select("s", "o")
+        def measured() -> dict[str, Sizes]:
+            if sizes is not None:
+                return sizes
+            per = triples.groupBy("p").agg(F.count("*"), F.approx_count_distinct("s"), F.approx_count_distinct("o"))
+            return {p: Sizes(*n) for p, *n in per.collect()}  # one row per predicate
 
-            def measure() -> Sizes:
-                if sizes is not None:
-                    return sizes[p]
-                r = own.agg(F.count("*"), F.approx_count_distinct("s"), F.approx_count_distinct("o")).first()
-                return Sizes(*r)
+        known = _once(measured)
 
-            return Edges(p, TERM, TERM, lambda: own, _once(measure))
+        def edges(p: str) -> Edges:
+            return Edges(p, TERM, TERM, lambda: triples.filter(F.col("p") == p).select("s", "o"), lambda: known().get(p, Sizes(0, 0, 0)))
 
         graph = Graph(triples.sparkSession, [edges(p) for p in predicates])
         graph._triples = triples.select("s", "p", "o")
@@ -83,6 +96,14 @@ class Graph:
 
     _triples: DataFrame | None = None
 
+    def whole(self) -> Edges | None:
+        """The edges of all predicates as one set, where one scan gives them; None for graphs
+        whose predicates lie in tables of their own."""
+        if self._triples is None:
+            return None
+        every = [e for es in self.by_predicate.values() for e in es]
+        return Edges(None, TERM, TERM, self.triples, _once(lambda: Sizes.total(e.sizes for e in every)))
+
     def edges(self, predicate: str) -> list[Edges]:
         return self.by_predicate.get(predicate, [])
 
@@ -144,9 +165,9 @@ class Graph:
         """p, edges, subjects, objects: exact. Distinct ends are pre-aggregated, so predicates
         with many edges do not meet in one task."""
         t = self.triples()
-        edges = t.groupBy("p").agg(F.count("*").alias("edges"))
-        ends = lambda c, name: t.select("p", c).distinct().groupBy("p").agg(F.count("*").alias(name))
-        return edges.join(ends("s", "subjects"), "p").join(ends("o", "objects"), "p")
+        ends = lambda c, *of: t.groupBy("p", c).agg(F.count("*").alias("n")).groupBy("p").agg(*of)
+        subjects = ends("s", F.sum("n").alias("edges"), F.count("*").alias("subjects"))
+        return subjects.join(ends("o", F.count("*").alias("objects")), "p").select("p", "edges", "subjects", "objects")
 
     def degrees(self, end: str = "s") -> DataFrame:
         """Number of triples of each subject (``s``) or object (``o``)."""
@@ -185,17 +206,23 @@ class Graph:
 
     def dictionary(self) -> DataFrame:
         """(term, role, id): ids from 1, shared terms first, then subjects, then objects, each in
-        the order of their text. Places are counted in ranges of text, not in one task."""
+        the order of their text. Terms are sorted in ranges, written with their place in the range
+        (read twice, places must not differ), and ranges begin where those before them end."""
         order = F.when(F.col("role") == "shared", 0).when(F.col("role") == "subject", 1).otherwise(2)
         ranked = self.roles().select("term", "role", order.alias("rank")).orderBy("rank", "term")
-        rows = ranked.rdd.zipWithIndex().map(lambda x: (x[0]["term"], x[0]["role"], x[1] + 1))
-        return self.spark.createDataFrame(rows, "term string, role string, id long")
+        # the upper 31 bits are the number of the range, the lower 33 the place in it
+        placed = written(ranked.select("term", "role", F.monotonically_increasing_id().alias("at")), "dictionary")
+        placed = placed.select("term", "role", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+        # one row per range
+        starts = placed.groupBy("range").agg(F.count("*").alias("held"))
+        starts = starts.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        return placed.join(starts, "range").select("term", "role", (F.col("start") + F.col("place") + 1).alias("id"))
 
 
-def _once(f: Callable[[], Sizes]) -> Callable[[], Sizes]:
-    have: list[Sizes] = []
+def _once(f: Callable[[], T]) -> Callable[[], T]:
+    have: list[T] = []
 
-    def of() -> Sizes:
+    def of() -> T:
         if not have:
             have.append(f())
         return have[0]

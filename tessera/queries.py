@@ -18,7 +18,7 @@ from tessera.operators.graph import Graph
 from tessera.operators.intersect import first_values, intersect_sets
 from tessera.operators.results import capped, result_stats
 from tessera.plans.to_sql import to_sql, triples_cte
-from tessera.sources import tables
+from tessera.sources import fs, store, tables
 from tessera.sources.tables import predicate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,13 +141,9 @@ def _escapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, d: str, predicates: list[str] | None) -> DataFrame:
-    import tempfile
-    import uuid
-
     from tessera.sources.ntriples import InvalidTriples, read_triples, validate, write_triples
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{root.rstrip('/')}/triples-{uuid.uuid4().hex}.nt"
+    path = f"{fs.scratch(spark, 'triples')}.nt"
     write_triples(tables.commerce_graph(spark, d).triples(predicates), path, ascii_only=True)
     judged = validate(spark, path)
     if not judged.ok:
@@ -165,6 +161,33 @@ def _roundtrip_whole(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, None)
 
 
+_STORED: dict[tuple[str, str, int], str] = {}
+
+
+def _over_stored(text: str, group: dict[str, str]) -> Query:
+    """A query over the graph of a group, saved as a database and opened again."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        key = spark.sparkContext.applicationId, d, id(group)
+        if key not in _STORED:
+            path = fs.scratch(spark, "graph")
+            store.save(_GRAPHS[id(group)](spark, d).triples(), path)
+            _STORED[key] = path
+        return run_query(store.open_graph(spark, _STORED[key]), PREFIXES + text)
+
+    return run
+
+
+STORED = {
+    "stored_full_scan": ("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", COMMERCE),
+    "stored_p_of_so": ("SELECT ?p WHERE { <http://example.org/nation/0> ?p <http://example.org/region/0> }", COMMERCE),
+    "stored_po_of_s": ("SELECT ?p ?o WHERE { <http://example.org/order/201> ?p ?o }", COMMERCE),
+    "stored_path": ("SELECT ?o ?n ?p WHERE { ?o :placedBy ?c . ?c :inNation ?n . ?n ?p <http://example.org/region/0> }", COMMERCE),
+    "stored_self_loop": ("SELECT ?a ?p WHERE { ?a ?p ?a }", EVENT),
+    "stored_two_predicates": ("SELECT ?a ?p ?c WHERE { ?a :next_click ?b . ?b ?p ?c . ?c :next_click ?a }", EVENT),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for group in (EVENT, COMMERCE, DOCUMENTS):
@@ -188,6 +211,7 @@ def queries() -> dict[str, Query]:
         "stats_characteristic_sets": _commerce(lambda g: g.characteristic_sets().select(F.array_join("predicates", " ").alias("predicates"), "entities")),
         "stats_characteristic_set_of": _commerce(lambda g: g.characteristic_set_of(ORDER_201).select(F.array_join("predicates", " ").alias("predicates"))),
         "dict_roles": _commerce(Graph.roles),
+        "dict_ids": _commerce(Graph.dictionary),
         "j_intersect_k": lambda s, d: intersect_sets([(g := tables.event_graph(s, d)).subjects(predicate("next_click")), g.objects(predicate("next_error")), g.subjects(predicate("next_purchase")), g.objects(predicate("next_view"))]),
         "j_first_variable": lambda s, d: _candidates(tables.event_graph(s, d)),
         "limit_n": lambda s, d: _counted(_text("SELECT ?o ?p WHERE { ?o :hasPart ?p } LIMIT 17", COMMERCE)(s, d)),
@@ -196,10 +220,11 @@ def queries() -> dict[str, Query]:
         "limit_distinct": lambda s, d: _counted(_text("SELECT DISTINCT ?n WHERE { ?c :inNation ?n } LIMIT 20", COMMERCE)(s, d)),
         "limit_display_cap": lambda s, d: capped(_text(COMMERCE["wd_S3"], COMMERCE)(s, d)),
         "result_stats": lambda s, d: result_stats(_text(COMMERCE["wd_S3"], COMMERCE)(s, d)),
+        "result_stats_unbound": lambda s, d: result_stats(_text(DOCUMENTS["optional_left"], DOCUMENTS)(s, d)),
         "unicode_escape": _escapes,
         "nt_roundtrip": _roundtrip,
         "nt_roundtrip_whole": _roundtrip_whole,
-    }
+    } | {k: _over_stored(t, group) for k, (t, group) in STORED.items()}
     return out
 
 
@@ -233,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "stats_characteristic_sets": f"{commerce} SELECT predicates, count(*)::BIGINT AS entities FROM ({sets}) GROUP BY predicates",
         "stats_characteristic_set_of": f"{commerce} SELECT predicates FROM ({sets}) WHERE s = '{ORDER_201}'",
         "dict_roles": f"{commerce}, {roles} SELECT term, role FROM roles",
+        "dict_ids": f"{commerce}, {roles} SELECT term, role, row_number() OVER (ORDER BY CASE role WHEN 'shared' THEN 0 WHEN 'subject' THEN 1 ELSE 2 END, term) AS id FROM roles",
         "j_intersect_k": f"{events} SELECT s AS value FROM triples WHERE p = '{p('next_click')}' INTERSECT SELECT o FROM triples WHERE p = '{p('next_error')}' INTERSECT SELECT s FROM triples WHERE p = '{p('next_purchase')}' INTERSECT SELECT o FROM triples WHERE p = '{p('next_view')}'",
         "j_first_variable": f"{events} SELECT s AS value FROM triples WHERE p = '{p('next_click')}' INTERSECT SELECT o FROM triples WHERE p = '{p('next_purchase')}'",
         "limit_n": f"SELECT count(*) AS rows FROM ({_sql('SELECT ?o ?p WHERE { ?o :hasPart ?p } LIMIT 17', COMMERCE)})",
@@ -241,10 +267,11 @@ def oracle_sql() -> dict[str, str]:
         "limit_distinct": f"SELECT count(*) AS rows FROM ({_sql('SELECT DISTINCT ?n WHERE { ?c :inNation ?n } LIMIT 20', COMMERCE)})",
         "limit_display_cap": f'SELECT count(*) AS "count", least(count(*), 1000) AS returned_count, count(*) > 1000 AS truncated FROM ({s3})',
         "result_stats": f"SELECT count(*) AS rows, 3 * count(*) AS cells, 3 * count(*) AS filled, sum(length(p) + length(l) + length(s))::BIGINT AS chars, 100.0::DOUBLE AS filled_percent, round(sum(length(p) + length(l) + length(s)) / (3 * count(*)), 2) AS mean_chars FROM ({s3})",
+        "result_stats_unbound": f"SELECT count(*) AS rows, 3 * count(*) AS cells, count(d) + count(l) + count(q) AS filled, sum(n)::BIGINT AS chars, round(100.0 * (count(d) + count(l) + count(q)) / (3 * count(*)), 2)::DOUBLE AS filled_percent, round(sum(n) / (count(d) + count(l) + count(q)), 2) AS mean_chars FROM (SELECT *, length(coalesce(d, '')) + length(coalesce(l, '')) + length(coalesce(q, '')) AS n FROM ({_sql(DOCUMENTS['optional_left'], DOCUMENTS)}))",
         "unicode_escape": r"""SELECT t AS term, '"\u00E9 \uD83D\uDE00 ' || lang || ' \u00F1 ' || source || '"' AS escaped, t AS back FROM (SELECT DISTINCT lang, source, '"é 😀 ' || lang || ' ñ ' || source || '"' AS t FROM documents)""",
         "nt_roundtrip": f"{some} SELECT s, p, o FROM triples",
         "nt_roundtrip_whole": f"{commerce} SELECT s, p, o FROM triples",
-    }
+    } | {k: _sql(t, group) for k, (t, group) in STORED.items()}
     return out
 
 

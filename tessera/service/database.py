@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tessera.operators.bgp import Matcher, candidates
 from tessera.operators.graph import Graph
@@ -42,6 +42,7 @@ class Progress:
     step: str = ""
     database: str = ""
     error: str = ""
+    rejected: int = 0  # lines that are no triple, beyond those that validation looks at
 
     def as_dict(self) -> dict:
         return dict(vars(self))
@@ -88,11 +89,12 @@ class GraphDatabase:
             if not checked.ok:
                 raise InvalidTriples(checked.error)
             self._step("store", 20)
-            store.save(read_triples(self.spark, file), self.path(name))
+            seen = Observation()
+            store.save(read_triples(self.spark, file, seen=seen), self.path(name))
             self._step("load", 90)
             if load:
                 self.load(name)
-            self.progress = Progress("success", 100, "done", name)
+            self.progress = Progress("success", 100, "done", name, rejected=seen.get["rejected"])
         except Exception as e:
             fs.delete(self.spark, self.path(name))
             self.progress = Progress("cancelled" if isinstance(e, Cancelled) else "error", self.progress.percent, self.progress.step, name, str(e))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
 
 
 def _at(spark: SparkSession, path: str):
@@ -28,3 +34,35 @@ def size(spark: SparkSession, path: str) -> int:
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _at(spark, path)
     fs.delete(target, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for data in between, in the folder that driver and executors share. Without
+    ``spark.checkpoint.dir``, in a folder of our own in local mode; on a cluster, an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
+        where = f"file://{_OWN[app]}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: the same rows however often it is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(spark: SparkSession, local: str) -> str:
+    """A file of the driver where executors can read it: in the shared folder, or where it is
+    if all run on one machine."""
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return local
+    path = f"{scratch(spark, 'upload')}.nt"
+    fs, target = _at(spark, path)
+    fs.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+    return path

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import escape_nt, unescape_nt
@@ -23,12 +23,17 @@ def _content(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.col("value").rlike(r"^\s*(#|$)"))
 
 
-def read_triples(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
+def read_triples(spark: SparkSession, path: str, distinct: bool = True, seen: Observation | None = None) -> DataFrame:
     """Triples of one or more files; blank lines and comments are skipped, unicode escapes
-    replaced. A graph is a set, so equal triples count once unless ``distinct`` is off."""
+    replaced. A graph is a set, so equal triples count once unless ``distinct`` is off. Lines that
+    are no triple are left out; ``seen`` counts them (``rejected``) and all others (``read``)
+    while the first action on the triples runs."""
     lines = _content(spark.read.text(path))
+    if seen is not None:
+        good = F.regexp_extract("value", LINE, 3) != ""
+        lines = lines.observe(seen, F.count_if(good).alias("read"), F.count_if(~good).alias("rejected"))
     parts = [F.regexp_extract("value", LINE, i) for i in (1, 2, 3)]
-    triples = lines.select(*(unescape_nt(x).alias(n) for x, n in zip(parts, "spo", strict=True))).filter("s != ''")
+    triples = lines.select(*(unescape_nt(x).alias(n) for x, n in zip(parts, "spo", strict=True))).filter("o != ''")
     return triples.dropDuplicates() if distinct else triples
 
 

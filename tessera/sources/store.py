@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import Graph, Sizes
+from tessera.functions.kinds import TERM
+from tessera.operators.graph import Edges, Graph, Sizes
 
 _SCHEMA = "s string, o string, p_id int"
 #: Predicates that are broadcast at most; beyond, the join shuffles.
@@ -49,9 +50,6 @@ def open_graph(spark: SparkSession, path: str) -> Graph:
 
 class StoredGraph(Graph):
     def __init__(self, spark: SparkSession, path: str, numbers: dict[str, int], stats: dict[str, Sizes]) -> None:
-        from tessera.functions.kinds import TERM
-        from tessera.operators.graph import Edges
-
         rows = spark.read.schema(_SCHEMA).parquet(f"{path}/triples")
 
         def edges(p: str) -> Edges:
@@ -70,5 +68,9 @@ class StoredGraph(Graph):
         names = self.spark.read.parquet(f"{self.path}/predicates")
         return _named(rows, names, len(self._numbers))
 
+    def whole(self) -> Edges:
+        """A variable predicate is one scan, not one for each predicate."""
+        return Edges(None, TERM, TERM, self.triples, lambda: Sizes.total(e.sizes for es in self.by_predicate.values() for e in es))
+
     def counters(self) -> dict[str, int]:
         return self.spark.read.parquet(f"{self.path}/counters").first().asDict()

@@ -104,16 +104,20 @@ def _column_edges(spark: SparkSession, sf_dir: str, c: Column) -> Edges:
 
 
 def following(events: DataFrame, event_type: str) -> DataFrame:
-    """(s, o): the users of two events of a type that follow each other in time. Days are
-    windows of their own, and the last event of a day is followed by the first of the next day
-    that has any, so no task needs all events of a type."""
-    own = events.filter(F.col("event_type") == event_type).select("ts", "event_id", "user_id", F.to_date("ts").alias("day"))
-    in_day = Window.partitionBy("day").orderBy("ts", "event_id")
-    firsts = own.groupBy("day").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first"))
-    # one row per day
-    next_day = firsts.select("day", F.lead("first.user_id").over(Window.orderBy("day")).alias("after"))
-    pairs = own.select("day", F.col("user_id").alias("s"), F.lead("user_id").over(in_day).alias("o")).join(F.broadcast(next_day), "day")
-    return pairs.select("s", F.coalesce("o", "after").alias("o")).filter("s IS NOT NULL AND o IS NOT NULL").distinct()
+    """(s, o): the users of two events of a type that follow each other in time. Minutes are
+    windows of their own, and the last event of a minute is followed by the first of the next one
+    that has any, in its day or else in the next day: a task needs the events of a minute, the
+    minutes of a day, or one row per day."""
+    own = events.filter(F.col("event_type") == event_type).select("ts", "event_id", "user_id", F.date_trunc("minute", "ts").alias("minute"))
+    # structs, as the next event may be one without a user
+    nxt = lambda c, w: F.lead(F.struct(F.col(c).alias("u"))).over(w)
+    firsts = own.groupBy("minute").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first")).withColumn("day", F.to_date("minute"))
+    days = firsts.groupBy("day").agg(F.min("first").alias("first")).select("day", nxt("first.user_id", Window.orderBy("day")).alias("tomorrow"))
+    in_day = firsts.select("minute", "day", nxt("first.user_id", Window.partitionBy("day").orderBy("minute")).alias("later"))
+    after = in_day.join(days, "day").select("minute", F.coalesce("later", "tomorrow").alias("after"))
+    in_minute = Window.partitionBy("minute").orderBy("ts", "event_id")
+    pairs = own.select("minute", F.col("user_id").alias("s"), nxt("user_id", in_minute).alias("o")).join(after, "minute")
+    return pairs.select("s", F.coalesce("o", "after").getField("u").alias("o")).filter("s IS NOT NULL AND o IS NOT NULL").distinct()
 
 
 def _event_edges(spark: SparkSession, sf_dir: str, event_type: str) -> Edges:

@@ -97,6 +97,31 @@ def test_optional(graph):
     assert rows == {("<a>", None), ("<c>", '"x"@en')}
 
 
+def test_optional_with_unbound_keys_joins_by_equality(spark):
+    triples = [("<1>", "<p>", "<a>"), ("<2>", "<p>", "<b>"), ("<3>", "<p>", "<c>"), ("<1>", "<q>", "<x>"), ("<2>", "<q>", "<y>"), ("<a>", "<r>", "<x>"), ("<a>", "<r>", "<z>"), ("<b>", "<r>", "<x>"), ("<c>", "<r>", "<w>")]
+    g = Graph.of_triples(spark.createDataFrame(triples, "s string, p string, o string").cache())
+    df = run_query(g, "SELECT ?s ?k ?t WHERE { ?s <p> ?m . OPTIONAL { ?s <q> ?k } OPTIONAL { ?m <r> ?k . ?t <r> ?k } }")
+    # <1>: k is <x>; <2>: <b> has no <y>; <3>: k was unbound and comes from <c>
+    want = Counter([("<1>", "<x>", "<a>"), ("<1>", "<x>", "<b>"), ("<2>", "<y>", None), ("<3>", "<w>", "<c>")])
+    assert Counter(map(tuple, df.collect())) == want
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_following(spark):
+    from datetime import datetime, timedelta
+
+    from tessera.sources.tables import following
+
+    rng = random.Random(5)
+    start = datetime(2024, 2, 28, 23, 58)
+    rows = [(i, start + timedelta(seconds=rng.choice([rng.randrange(240), rng.randrange(400000)])), rng.choice(["a", "b"]), rng.choice([None, *range(30)])) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, user_id long")
+    for kind in ("a", "b", "c"):
+        own = [r[3] for r in sorted((r for r in rows if r[2] == kind), key=lambda r: (r[1], r[0]))]
+        want = {(x, y) for x, y in itertools.pairwise(own) if x is not None and y is not None}
+        assert sorted(map(tuple, following(events, kind).collect())) == sorted(want)
+
+
 def test_filters(spark):
     node = iri("n", "http://e/")
     rows = spark.createDataFrame([(1, 5, "b"), (2, 7, "a"), (3, 10, "10")], "n long, i int, t string")
@@ -168,6 +193,8 @@ def test_stats(graph):
     assert degrees["<a>"] == 4 and degrees["<d>"] == 2
     ids = graph.dictionary().collect()
     assert sorted(r.id for r in ids) == list(range(1, 13))
+    terms = [(r.role, r.term) for r in sorted(ids, key=lambda r: r.id)]
+    assert terms == sorted(terms, key=lambda x: (["shared", "subject", "object"].index(x[0]), x[1].encode()))
     assert [r.role for r in sorted(ids, key=lambda r: r.id)] == ["shared"] * 4 + ["subject"] * 3 + ["object"] * 5
 
 

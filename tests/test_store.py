@@ -83,6 +83,23 @@ def test_database(db, data, spark, tmp_path):
     assert db.names() == ["g"]
 
 
+def test_rejected_lines(db, spark, tmp_path, monkeypatch):
+    from tessera.service import database
+
+    path = tmp_path / "r.nt"
+    path.write_text(DATA + "<x> <y> .\nnothing\n")
+    monkeypatch.setattr(database, "validate", lambda spark, file: validate(spark, file, sample=6))
+    assert db.create("r", str(path), load=False).rejected == 2 and db.stats("r")["triple_count"] == 5
+    db.drop("r")
+
+
+def test_variable_predicate_is_one_scan(db):
+    for text in ("SELECT * WHERE { ?s ?p ?o }", "SELECT * WHERE { <c> ?p ?o }", "SELECT ?p WHERE { ?s ?p <c> }"):
+        df = db.query(text)
+        assert df._jdf.queryExecution().executedPlan().toString().count("/triples") == 1
+    assert "PushedFilters: [IsNotNull(s), EqualTo(s,<c>)" in db.query("SELECT * WHERE { <c> ?p ?o }")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cancel(db, data, monkeypatch):
     from tessera.service import database
 
@@ -108,7 +125,7 @@ def test_uploads(tmp_path):
 def test_routes(db, data, tmp_path):
     s = Service(db, str(tmp_path))
     call = lambda m, r, **f: s.handle(m, f"/api/{r}", {}, json.dumps(f).encode() if f else b"")
-    assert call("GET", "health") == (200, {"ok": True, "status": "ok"})
+    assert call("GET", "health") == s.handle("GET", "/healthz", {}) == (200, {"ok": True, "status": "ok"})
     assert call("POST", "databases/load", database="none")[0] == 404 and call("POST", "databases/load")[0] == 400
     assert call("POST", "databases/load", database="g")[0] == 200
     status, answer = call("POST", "query", query="SELECT ?a WHERE { ?a <p> ?b }")
@@ -118,6 +135,13 @@ def test_routes(db, data, tmp_path):
     assert call("POST", "databases/upload/chunk", upload_id=key, chunk=0, data=DATA, last=True)[1]["next_chunk"] == 1
     assert call("POST", "databases/create", database="u", upload_id=key)[0] == 200 and db.active == "u"
     assert call("POST", "databases/create", database="u", file=data)[0] == 409
+    form = lambda name: f'--zz\r\nContent-Disposition: form-data; name="database"\r\n\r\nv\r\n--zz\r\nContent-Disposition: form-data; name="file"; filename="{name}"\r\n\r\n{DATA}\r\n--zz--\r\n'.encode()
+    post = lambda name: s.handle("POST", "/api/databases/create", {}, form(name), "multipart/form-data; boundary=zz")
+    assert post("v.ttl")[0] == 400 and post("v.nt")[0] == 200 and db.active == "v" and db.stats()["triple_count"] == 5
+    assert call("POST", "databases/delete", database="v")[0] == 200 and call("POST", "databases/load", database="u")[0] == 200
+    key = call("POST", "databases/upload/init", name="w.nt")[1]["upload_id"]
+    raw = s.handle("POST", "/api/databases/upload/chunk", {"upload_id": key, "chunk": "0", "last": "true"}, b"{<a>", "application/octet-stream")
+    assert raw[1]["size"] == 4  # bytes as they are, whatever they begin with
     assert call("POST", "databases/delete", database="u")[0] == 200 and call("GET", "database")[0] == 400
     db.progress.status = "running"
     assert call("GET", "databases")[0] == 423 and call("GET", "databases/create/progress")[0] == 200
@@ -144,7 +168,7 @@ def test_server(db, tmp_path):
 def test_command_line(spark, data, tmp_path, capsys):
     queries, root, model = tmp_path / "q.txt", str(tmp_path / "dbs"), str(tmp_path / "m.json")
     queries.write_text("SELECT ?a WHERE { ?a <p> ?b . ?b <p> ?c }\nSELECT * WHERE { ?a <name> ?b }\n")
-    assert main(["build", "-d", "x", "-f", data, "--root", root], spark) == 0
+    assert main(["build", "-d", "x", "-f", data, "--root", root, "-t", "2"], spark) == 0
     for command in ("query", "train", "test"):
         assert main([command, "-d", "x", "-f", str(queries), "--root", root, "-m", model], spark) == 0
     out = capsys.readouterr().out
