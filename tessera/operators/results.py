@@ -15,14 +15,15 @@ DISPLAY_CAP = 1000
 
 
 def result_stats(df: DataFrame) -> DataFrame:
-    """One row: rows, cells, non-empty cells, their characters, average length, share filled."""
+    """One row: rows, cells, non-empty cells, their bytes in UTF-8, share filled, and bytes per
+    cell, empty ones included."""
     cells = [F.col(f"`{c}`") for c in df.columns]
     full = sum((F.when(c.isNotNull() & (F.length(c) > 0), 1).otherwise(0) for c in cells), F.lit(0))
-    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in cells), F.lit(0))
+    chars = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cells), F.lit(0))
     sums = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(full), F.lit(0)).cast("long").alias("filled"), F.coalesce(F.sum(chars), F.lit(0)).cast("long").alias("chars"))
     total = F.col("rows") * len(df.columns)
     share = F.when(total > 0, F.round(100.0 * F.col("filled") / total, 2)).otherwise(0.0)
-    mean = F.when(F.col("filled") > 0, F.round(F.col("chars") / F.col("filled"), 2)).otherwise(0.0)
+    mean = F.when(total > 0, F.round(F.col("chars") / total, 2)).otherwise(0.0)
     return sums.select("rows", total.alias("cells"), "filled", "chars", share.alias("filled_percent"), mean.alias("mean_chars"))
 
 
@@ -35,14 +36,19 @@ class Shown:
     elapsed_ms: float
 
     def as_dict(self, cap: int = DISPLAY_CAP) -> dict:
-        filled = [v for r in self.rows for v in r if v]
-        cells = len(self.rows) * len(self.columns)
+        filled = [len(v.encode()) for r in self.rows for v in r if v]
+        width = len(self.columns)
+        cells = len(self.rows) * width
         return {
             "ok": True,
             "head": {"vars": [f"?{c}" for c in self.columns]},
             "results": {"bindings": self.rows, "count": self.count, "returned_count": len(self.rows), "truncated": self.truncated, "truncated_limit": cap},
             "metrics": {"elapsed_ms": round(self.elapsed_ms, 3)},
-            "query_stats": {"filled": len(filled), "chars": sum(map(len, filled)), "filled_percent": round(100 * len(filled) / cells, 2) if cells else 0.0, "mean_chars": round(sum(map(len, filled)) / len(filled), 2) if filled else 0.0},
+            "query_stats": {
+                "row_count": self.count, "returned_row_count": len(self.rows), "column_count": width, "cell_count": cells, "total_cell_count": self.count * width,
+                "non_empty_cells": len(filled), "non_empty_ratio_percent": 100 * len(filled) / cells if cells else 0.0, "avg_value_chars": sum(filled) / cells if cells else 0.0,
+                "truncated": self.truncated, "truncated_limit": cap,
+            },
         }
 
     def as_json(self, cap: int = DISPLAY_CAP) -> str:

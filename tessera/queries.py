@@ -266,8 +266,8 @@ def oracle_sql() -> dict[str, str]:
         "limit_zero": _sql("SELECT ?o WHERE { ?o :hasPart ?p } LIMIT 0", COMMERCE),
         "limit_distinct": f"SELECT count(*) AS rows FROM ({_sql('SELECT DISTINCT ?n WHERE { ?c :inNation ?n } LIMIT 20', COMMERCE)})",
         "limit_display_cap": f'SELECT count(*) AS "count", least(count(*), 1000) AS returned_count, count(*) > 1000 AS truncated FROM ({s3})',
-        "result_stats": f"SELECT count(*) AS rows, 3 * count(*) AS cells, 3 * count(*) AS filled, sum(length(p) + length(l) + length(s))::BIGINT AS chars, 100.0::DOUBLE AS filled_percent, round(sum(length(p) + length(l) + length(s)) / (3 * count(*)), 2) AS mean_chars FROM ({s3})",
-        "result_stats_unbound": f"SELECT count(*) AS rows, 3 * count(*) AS cells, count(d) + count(l) + count(q) AS filled, sum(n)::BIGINT AS chars, round(100.0 * (count(d) + count(l) + count(q)) / (3 * count(*)), 2)::DOUBLE AS filled_percent, round(sum(n) / (count(d) + count(l) + count(q)), 2) AS mean_chars FROM (SELECT *, length(coalesce(d, '')) + length(coalesce(l, '')) + length(coalesce(q, '')) AS n FROM ({_sql(DOCUMENTS['optional_left'], DOCUMENTS)}))",
+        "result_stats": f"SELECT count(*) AS rows, 3 * count(*) AS cells, 3 * count(*) AS filled, sum(strlen(p) + strlen(l) + strlen(s))::BIGINT AS chars, 100.0::DOUBLE AS filled_percent, round(sum(strlen(p) + strlen(l) + strlen(s)) / (3 * count(*)), 2) AS mean_chars FROM ({s3})",
+        "result_stats_unbound": f"SELECT count(*) AS rows, 3 * count(*) AS cells, count(d) + count(l) + count(q) AS filled, sum(n)::BIGINT AS chars, round(100.0 * (count(d) + count(l) + count(q)) / (3 * count(*)), 2)::DOUBLE AS filled_percent, round(sum(n) / (3 * count(*)), 2) AS mean_chars FROM (SELECT *, strlen(coalesce(d, '')) + strlen(coalesce(l, '')) + strlen(coalesce(q, '')) AS n FROM ({_sql(DOCUMENTS['optional_left'], DOCUMENTS)}))",
         "unicode_escape": r"""SELECT t AS term, '"\u00E9 \uD83D\uDE00 ' || lang || ' \u00F1 ' || source || '"' AS escaped, t AS back FROM (SELECT DISTINCT lang, source, '"é 😀 ' || lang || ' ñ ' || source || '"' AS t FROM documents)""",
         "nt_roundtrip": f"{some} SELECT s, p, o FROM triples",
         "nt_roundtrip_whole": f"{commerce} SELECT s, p, o FROM triples",

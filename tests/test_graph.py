@@ -205,6 +205,9 @@ def test_results(graph, capsys):
     d = shown.as_dict(3)
     assert d["head"]["vars"] == ["?a", "?b"] and d["results"]["truncated"] and d["results"]["count"] == 4
     assert result_stats(df).first().asDict() == {"rows": 4, "cells": 8, "filled": 8, "chars": 24, "filled_percent": 100.0, "mean_chars": 3.0}
+    stats = show(run_query(graph, "SELECT ?s ?o ?x WHERE { ?s <r> ?o . OPTIONAL { ?s <none> ?x } }")).as_dict(9)["query_stats"]
+    assert (stats["cell_count"], stats["non_empty_cells"], stats["total_cell_count"]) == (12, 8, 12)
+    assert stats["avg_value_chars"] == sum(len(s.encode()) + len(o.encode()) for s, p, o in TRIPLES if p == "<r>") / 12
     got = []
     assert stream_rows(df, got.append, 2) == 2 and len(got) == 2 and len(list(iterate(df))) == 4
     assert print_result(df) == 4 and "?a\t?b" in capsys.readouterr().out
