@@ -1026,3 +1026,18 @@ def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as c:
+        for table in ("documents", "pages"):
+            c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        want = c.sql(queries.oracle_sql()[name])
+        columns, rows = want.columns, want.fetchall()
+    df = queries.queries()[name](spark, folder)
+    tidy = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    assert sorted(df.columns) == sorted(columns) and Counter(map(tidy, df.select(*columns).collect())) == Counter(map(tidy, rows))
