@@ -16,6 +16,8 @@ marked in the whole document that holds the entity.
 
 Counts cover all documents. Equal texts are worked on once and count as often as they stand. A
 term in more documents than the entities of its text allow is left out before pairs are made.
+Entities that stand in the very same texts are rated as one, and so are terms that do and are in
+as many documents: a text with thousands of both, all its own, makes one pair.
 Terms are counted by exploding each document's distinct words; only sums per word are shuffled.
 
 Positions are code points, from 0, end exclusive. Everything here is DataFrame functions.
@@ -128,6 +130,12 @@ def _words(held: DataFrame, min_letters: int) -> DataFrame:
     return both.filter("term IS NOT NULL AND NOT coalesce(upto > start, false) AND NOT coalesce(after < end, false)").drop("upto", "after")
 
 
+def _texts_of() -> Column:
+    """Which texts the rows of a group are of, by the keys of 128 bits: equal for equal sets. Each
+    text must be there once."""
+    return F.struct(F.bit_xor("rk1").alias("x1"), F.bit_xor("rk2").alias("x2"), F.count("*").alias("texts"))
+
+
 def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_support: int = 3, generalise: float = 0.8, remove: float = 0.95, broadcast_rows: int = 200_000) -> DataFrame:
     """(rk1, rk2, kind, start, end) of terms that disclose an entity of their text."""
     total = float(max(keyed.count(), 1))
@@ -137,23 +145,27 @@ def term_spans(keyed: DataFrame, spans: DataFrame, min_letters: int = 3, min_sup
     words = stored(_words(held, min_letters), "pii-words")
     repeats = keyed.select("rk1", "rk2").join(spans.select("rk1", "rk2").distinct(), ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.count("*").alias("rows"))
     entities = stored(spans.select("rk1", "rk2", F.struct("kind", "value").alias("e")).distinct().join(repeats, ["rk1", "rk2"]), "pii-entities")
-    n_e = stored(entities.groupBy("e").agg(F.sum("rows").alias("n_e")), "pii-n-e")
+    n_e = stored(entities.groupBy("e").agg(F.sum("rows").alias("n_e"), _texts_of().alias("of")), "pii-n-e")
     vocabulary = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{min_letters},}}"), 0))).alias("term"))
     n_t = vocabulary.groupBy("term").agg(F.count("*").alias("n_t")).join(words.select("term").distinct(), "term")
     # C(t, e) is at most C(e): a term in more documents than this cannot reach ``generalise``
-    entities = stored(entities.join(n_e, "e").withColumn("most", F.lit(total) * F.pow(F.col("n_e") / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)), "pii-rare")
+    entities = entities.join(n_e, "e").select("rk1", "rk2", F.col("of").alias("e"), "rows", "n_e").distinct()
+    entities = stored(entities.withColumn("most", F.lit(total) * F.pow(F.col("n_e") / F.lit(total), F.lit(generalise)) * F.lit(1 + 1e-9)), "pii-rare")
     reach = entities.groupBy("rk1", "rk2").agg(F.max("most").alias("reach"))
     own = words.select("rk1", "rk2", "term").distinct().join(reach, ["rk1", "rk2"])
     own = own.join(stored(n_t, "pii-n-t").withColumnRenamed("term", "t"), (F.col("term") == F.col("t")) & (F.col("n_t") <= F.col("reach"))).select("rk1", "rk2", "term", "n_t")
-    rare = own.join(entities, ["rk1", "rk2"]).filter(F.col("n_t") <= F.col("most"))
-    rare = stored(rare.select("rk1", "rk2", "term", "e", "rows", "n_t", "n_e"), "pii-pairs")
+    own = stored(own, "pii-own")
+    alike = own.groupBy("term").agg(_texts_of().alias("of"), F.first("n_t").alias("n_t")).select("term", F.struct("of", "n_t").alias("t"))
+    own = stored(own.join(alike, "term").select("rk1", "rk2", "term", "t"), "pii-alike")
+    rare = own.select("rk1", "rk2", "t").distinct().join(entities, ["rk1", "rk2"]).filter(F.col("t.n_t") <= F.col("most"))
+    rare = stored(rare.select("rk1", "rk2", "t", "e", "rows", F.col("t.n_t").alias("n_t"), "n_e"), "pii-pairs")
     information = F.log2(F.lit(total) / F.col("n_e"))
     pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
-    rated = rare.groupBy("term", "e").agg(F.sum("rows").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= min_support)
-    rated = broadcast_if_small(stored(rated.select("term", "e", share.alias("share")).filter(F.col("share") >= generalise), "pii-rated"), broadcast_rows)
-    told = rare.select("rk1", "rk2", "term", "e").join(rated, ["term", "e"]).groupBy("rk1", "rk2", "term").agg(F.max("share").alias("share"))
-    hit = words.join(told, ["rk1", "rk2", "term"])
+    rated = rare.groupBy("t", "e").agg(F.sum("rows").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= min_support)
+    rated = broadcast_if_small(stored(rated.select("t", "e", share.alias("share")).filter(F.col("share") >= generalise), "pii-rated"), broadcast_rows)
+    told = rare.select("rk1", "rk2", "t", "e").join(rated, ["t", "e"]).groupBy("rk1", "rk2", "t").agg(F.max("share").alias("share"))
+    hit = words.join(own.join(told, ["rk1", "rk2", "t"]).select("rk1", "rk2", "term", "share"), ["rk1", "rk2", "term"])
     return hit.select("rk1", "rk2", F.when(F.col("share") >= remove, len(KINDS) + 1).otherwise(len(KINDS)).alias("kind"), "start", "end")
 
 

@@ -197,6 +197,26 @@ def test_pii_terms_of_the_whole_document(spark):
     assert all(found[i] == "" for i, _ in rows[4:])
 
 
+def test_pii_pairs_of_one_text(spark, monkeypatch):
+    letters = "abcdefghij"
+    name = lambda i: "x" + "".join(letters[int(c)] for c in f"{i:04d}")
+    own = " ".join(f"{name(i)} u{i}@site{i}.org" for i in range(2000))
+    both = [f"{name(i)} seen u{i}@site{i}.org" for i in range(3)]  # these stand in two texts
+    docs = [(1, own), (2, both[0]), (3, both[1]), (4, both[2]), *((i, f"plain seen words {name(9000 + i)}") for i in range(5, 60))]
+    sizes = {}
+
+    def kept(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    stored = pii.stored
+    monkeypatch.setattr(pii, "stored", kept)
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(docs, "doc_id long, text string"), min_support=1).collect()}
+    assert rows[1].n_email == 2000 and rows[1].n_terms == 2000 and [rows[i].n_terms for i in (2, 3, 4)] == [1, 1, 1]
+    assert sizes["pii-alike"] == 2003 and sizes["pii-pairs"] < 30  # not 2,000 times 2,000
+
+
 def test_pii_empty(empty):
     assert pii.report(empty).count() == 0
     assert pii.sanitise(empty).columns == empty.columns
