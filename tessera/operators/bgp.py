@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 from tessera.functions.kinds import INTEGER, TERM, TEXT, Kind
 from tessera.operators.graph import Edges, Graph, Sizes
 from tessera.operators.intersect import extend
-from tessera.plans.planner import Candidate, Chooser, components, is_cycle, join_order, order_by_variables, variable_order
+from tessera.plans.planner import Candidate, Chooser, components, is_cycle, order_by_variables, planned, variable_order
 from tessera.plans.sparql import Group, Number, Pattern, Query, Term, Test, Var, parse
 
 
+#: A join that makes so many times the rows of either side multiplies them.
+MULTIPLIES = 2
+#: Rows of a side of such a join that is broadcast, and rows that a task of it is to make.
+SMALL_SIDE, TASK_ROWS, MOST_TASKS = 100_000, 20_000_000, 2_000
+
+
 @dataclass
 class Relation:
     """Solutions: columns named ``v<number>``, the kind of each, and which may be unbound."""
@@ -163,23 +169,41 @@ class Matcher:
         how = "left_semi" if set(b.kinds) <= set(a.kinds) else "inner"
         return Relation(a.df.join(b.df, shared, how), {**a.kinds, **b.kinds})
 
-    def component(self, members: list[Access]) -> Relation:
+    def component(self, members: list[Access], shown: frozenset[str] = frozenset()) -> Relation:
+        """The join of these patterns. ``shown``: columns that are only rendered after it."""
         if self.strategy == "join" and self.choose is None:
             members = self._stars(members)
         candidates = [Candidate(m.pattern, m.rows, m.values, m.names) for m in members]
         by = {id(c): m for c, m in zip(candidates, members, strict=True)}
+        after: list[float] = []
         if self.choose is not None and len(candidates) > 1:
             order = order_by_variables(candidates, variable_order(candidates, self.choose))
         else:
-            order = join_order(candidates)
+            order, after = planned(candidates)
         if self.strategy == "intersect" and is_cycle(candidates):
             return self._closed([by[id(c)] for c in order])
         out = None
-        for c in order:
+        for i, c in enumerate(order):
             r = self.relation(by[id(c)])
+            if out is not None and after and after[i] > MULTIPLIES * max(after[i - 1], c.rows):
+                later = {self.column(v) for x in order[i + 1 :] for v in x.variables}
+                out, r = self._multiplied(out, r, by[id(c)], shown - later, after[i])
             out = r if out is None else self._join(out, r)
         return out
 
+    def _multiplied(self, a: Relation, b: Relation, access: Access, shown: frozenset[str], rows: float) -> tuple[Relation, Relation]:
+        """Two sides of a join that multiplies rows: terms are rendered before it, once for each
+        row of a side, and few keys do not make few tasks: a side that is small is broadcast, and
+        the other is dealt into as many tasks as the result needs."""
+        own = shown - (set(a.kinds) & set(b.kinds))
+        a, b = (x.rendered([n for n in x.kinds if n in own]) for x in (a, b))
+        if sum(e.sizes.edges for e in access.branches) > SMALL_SIDE or set(b.kinds) <= set(a.kinds):
+            return a, b
+        tasks = min(MOST_TASKS, math.ceil(rows / TASK_ROWS))
+        if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            a = Relation(a.df.repartition(tasks, *a.kinds), a.kinds, a.nullable)
+        return a, Relation(F.broadcast(b.df), b.kinds, b.nullable)
+
     def _stars(self, members: list[Access]) -> list[Access]:
         """Patterns around one subject that are columns of one table become one access."""
         groups: dict[object, list[Access]] = {}
@@ -249,8 +273,10 @@ class Matcher:
             return self._join(self._join(out, a), b)
         return Relation(made, out.kinds | {value: pairs[0][0].kinds[value]})
 
-    def group(self, group: Group, limit: int | None = None) -> Relation:
-        """Solutions of a group. ``limit``: that many suffice, and no filter follows."""
+    def group(self, group: Group, limit: int | None = None, shown: frozenset[str] = frozenset()) -> Relation:
+        """Solutions of a group. ``limit``: that many suffice, and no filter follows. ``shown``:
+        columns that are only rendered after it."""
+        shown = frozenset() if group.filters or group.optionals else shown
         accesses = self.accesses(group.patterns)
         candidates = [Candidate(a.pattern, a.rows, a.values) for a in accesses]
         by = dict(zip(map(id, candidates), accesses, strict=True))
@@ -262,7 +288,7 @@ class Matcher:
             limit = None  # the caller limits it anyway
         push = limit is not None and not group.filters and not group.optionals
         for members in parts:
-            r = self.component([by[id(c)] for c in members])
+            r = self.component([by[id(c)] for c in members], shown)
             r = Relation(r.df.limit(limit), r.kinds) if push else r
             out = r if out is None else Relation(out.df.crossJoin(r.df), {**out.kinds, **r.kinds})
         if out is None:
@@ -350,7 +376,8 @@ class Matcher:
     def run(self, query: Query | str) -> DataFrame:
         q = parse(query) if isinstance(query, str) else query
         plain = q.modifier in (None, "REDUCED", "DUPLICATES")
-        found = self.group(q.where, q.limit if plain else None)
+        shown = frozenset(map(self.column, q.columns())) if plain and q.limit is None else frozenset()
+        found = self.group(q.where, q.limit if plain else None, shown)
         if q.modifier == "COUNT":
             out = found.df.agg(F.count("*").alias("count"))
             return out if q.limit is None else out.limit(q.limit)

@@ -237,6 +237,35 @@ def test_plan_order():
     assert variable_order([big, mid, one], lambda g: "c" if g["status"][2] == 1 else "nonsense")[0] == "c"
 
 
+def test_plan_multiplies_late():
+    c = lambda a, b, rows, **values: Candidate(Pattern(Var(a), Term("p"), Var(b)), rows, values)
+    placed, lives, supplies = c("o", "c", 9e6, o=9e6, c=9e5), c("c", "n", 9e5, c=9e5, n=25), c("s", "n", 6e4, s=6e4, n=25)
+    assert join_order([placed, lives, supplies]) == [lives, placed, supplies]
+
+
+def test_terms_before_multiplying_join(spark, monkeypatch):
+    """Terms of sides are rendered once for each of their rows, and few keys make many tasks."""
+    from tessera.operators import bgp
+
+    monkeypatch.setattr(bgp, "TASK_ROWS", 200)
+    near, city = iri("near", "http://x/"), iri("city", "http://x/")
+
+    def edges(name, n, first):
+        rows = spark.range(first, first + n).selectExpr("id AS s", "id % 3 AS o")
+        return Edges(f"<{name}>", near, city, lambda: rows, lambda: Sizes(n, n, 3))
+
+    g = Graph(spark, [edges("p", 90, 0), edges("q", 60, 1000)])
+    df = run_query(g, "SELECT ?a ?b WHERE { ?a <p> ?n . ?b <q> ?n }")
+    got = Counter(map(tuple, df.collect()))
+    term = lambda i: f"<http://x/near/{i}>"
+    assert got == Counter((term(a), term(b)) for a in range(90) for b in range(1000, 1060) if a % 3 == b % 3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 2 and "concat(" not in plan[: plan.index("Join")]
+    assert df.rdd.getNumPartitions() == 9
+    assert run_query(g, "SELECT COUNT ?a ?b WHERE { ?a <p> ?n . ?b <q> ?n }").collect()[0][0] == 1800
+    assert run_query(g, "SELECT DISTINCT ?n WHERE { ?a <p> ?n . ?b <q> ?n . FILTER(?n != <http://x/city/0>) }").count() == 2
+
+
 def test_learned_order(graph, tmp_path):
     rng = random.Random(3)
 
