@@ -123,14 +123,24 @@ def _keys(blocks: int, radius: int):
     return of
 
 
-def _alive(distinct: DataFrame, n: int, radius: int) -> DataFrame:
-    """Fingerprints that share the blocks of some choice with another one."""
+def _blocks(n: int, radius: int) -> int:
+    """Blocks with which ``n`` fingerprints seldom agree by chance."""
     bits = math.log2(max(n, 2)) + 10
-    blocks = next((b for b in range(radius + 3, 17) if 64 * (b - radius) / b >= bits), 16)
-    keyed = distinct.mapInArrow(released(_keys(blocks, radius)), "k long, m short, fp long")
+    return next((b for b in range(radius + 3, 17) if 64 * (b - radius) / b >= bits), 16)
+
+
+def _keyed(fps: DataFrame, blocks: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(k, m, fp): the blocks of each choice, and (m, k, held) of those that several share."""
+    keyed = fps.mapInArrow(released(_keys(blocks, radius)), "k long, m short, fp long")
     # a fingerprint is alone in a key if the smallest and the largest there are the same
-    shared = keyed.groupBy("m", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("m", "k")
-    return keyed.join(stored(shared, "simhash-shared"), ["m", "k"], "left_semi").select("fp").distinct()
+    shared = keyed.groupBy("m", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("held"))
+    return keyed, shared.filter("lo != hi").select("m", "k", "held")
+
+
+def _alive(distinct: DataFrame, n: int, radius: int) -> DataFrame:
+    """Fingerprints that share the blocks of some choice with another one."""
+    keyed, shared = _keyed(distinct, _blocks(n, radius), radius)
+    return keyed.join(stored(shared.select("m", "k"), "simhash-shared"), ["m", "k"], "left_semi").select("fp").distinct()
 
 
 def links(distinct: DataFrame, n: int, radius: int = 3, filtered: bool = True) -> DataFrame:
@@ -153,6 +163,30 @@ def links(distinct: DataFrame, n: int, radius: int = 3, filtered: bool = True) -
     return met.filter("a != b").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+#: Fingerprints that share the blocks of a choice and are compared with each other; blocks at the
+#: second look at those that are more.
+FEW_CODES, FINE_BLOCKS = 32, 10
+
+
+def sparse_links(distinct: DataFrame, n: int, radius: int = 3, few: int = FEW_CODES) -> DataFrame:
+    """What ``links`` connects, for fingerprints of which few have a neighbour. Any two within
+    ``radius`` share the blocks of some choice. Where at most ``few`` share them, these are
+    compared with each other. Those that share blocks with more are looked at again with finer
+    blocks, and of them, those that still do emit their balls."""
+    rest, found = distinct, None
+    for blocks in sorted({_blocks(n, radius), max(FINE_BLOCKS, _blocks(n, radius))}):
+        keyed, shared = _keyed(rest, blocks, radius)
+        met = stored(keyed.join(stored(shared, "simhash-shared"), ["m", "k"]), "simhash-met")
+        a, b = (met.filter(F.col("held") <= few).select("m", "k", F.col("fp").alias(x)) for x in "ab")
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+        own = a.join(b, ["m", "k"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+        found = own if found is None else found.union(own)
+        rest = stored(met.filter(F.col("held") > few).select("fp").distinct(), "simhash-crowd")
+        if not rest.limit(1).count():
+            return found
+    return found.union(links(rest, n, radius, filtered=False))
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(fp, label): the smallest ``label`` of ``nodes`` (fp, label) reachable over ``edges``
     (a, b). Labels spread along links and, by pointer jumping, along the labels themselves, so
@@ -314,8 +348,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     """doc_id, rk1, rk2 and ``label`` as ``near_duplicates`` has them, for documents whose shingle
     sets are alike with ``similarity`` (Jaccard) or more.
 
-    Sets whose SimHash fingerprints are within 3 bits are found by ball hashing, as above. Sets
-    that are 0.8 alike differ in some ten bits, so sets also meet in bands of minimum hashes; in
+    Sets whose SimHash fingerprints are within 3 bits are found by ``sparse_links``. Sets that
+    are 0.8 alike differ in some ten bits, so sets also meet in bands of minimum hashes; in
     each band all are paired with the least set there, in a few bands first and then where a band
     still holds several components. All pairs are compared, set with set, and components are
     found. Near copies thus form a star.
@@ -330,7 +364,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     fps = stored(rows.mapInArrow(released(_described(width)), "doc_id long, rk1 long, rk2 long, sid long, n int, fp long, bands array<long>"), "similar-fps")
     nodes = stored(fps.groupBy("sid").agg(F.min(_label()).alias("label"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
     same = stored(nodes.groupBy("fp").agg(F.min("sid").alias("sid"), F.max("sid").alias("hi")), "similar-codes")
-    near = links(same.select("fp"), same.count()).join(same.select(F.col("fp").alias("a"), F.col("sid").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
+    near = sparse_links(same.select("fp"), same.count()).join(same.select(F.col("fp").alias("a"), F.col("sid").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
     near = near.union(nodes.select("fp", F.col("sid").alias("y")).join(same.filter("sid != hi").select("fp", F.col("sid").alias("x")), "fp").filter("x != y").select("x", "y"))
     in_bands = lambda df, of: df.select(*(c for c in df.columns if c != "bands"), F.explode(of).alias("k"))
     some = in_bands(nodes.select("sid", "n", "bands"), F.slice("bands", 1, FIRST_BANDS))

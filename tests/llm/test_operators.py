@@ -475,6 +475,48 @@ def test_simhash_links(spark):
         assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize(("radius", "few"), [(2, 3), (3, 1), (3, 3), (3, 32)])
+def test_simhash_sparse_links(spark, monkeypatch, radius, few):
+    """All that is linked is connected; while groups are small, nobody emits a ball."""
+    rng = random.Random(7)
+    fps = {rng.getrandbits(64) for _ in range(200)}
+    for f in sorted(fps)[:40]:
+        for _ in range(8):
+            g = f
+            for _ in range(rng.randint(1, 4)):
+                g ^= 1 << rng.randrange(64)
+            fps.add(g)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    if few == 32:
+        monkeypatch.setattr(simhash, "_emit", None)
+    pairs = simhash.sparse_links(spark.createDataFrame([(f,) for f in signed], "fp long"), len(fps), radius, few).collect()
+    at = {f: i for i, f in enumerate(signed)}
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= radius for a, b in pairs)
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[find(at[a])] = find(at[b])
+    want, got = plain_components(fps, radius), [find(i) for i in range(len(fps))]
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got)) < len(fps)
+
+
+def test_similar_without_balls(spark, monkeypatch):
+    """A group of near copies does not make 65 or 2,081 rows of each."""
+    rng, docs = random.Random(24), []
+    base = sentence(rng, 300).split()
+    for i in range(60):
+        at = rng.randrange(300)
+        docs.append((i, " ".join([*base[:at], f"new{i}", *base[at + 1 :]])))
+    monkeypatch.setattr(simhash, "_emit", None)
+    assert len(linked_pairs(spark, docs)) == 60 * 59 // 2
+
+
 def test_similar_documents(spark):
     rng = random.Random(21)
     docs = [(i, sentence(rng, rng.randint(60, 400))) for i in range(80)]
