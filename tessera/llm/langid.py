@@ -24,6 +24,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -48,6 +49,8 @@ SCORED = 4096
 TOGETHER = 200_000
 #: Texts in the sample of a language that has long ones only.
 LONG_DOCS = 4
+#: Bytes of a model that go to the driver in one value.
+PIECE = 1 << 20
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,26 +286,49 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> list[tuple[str, str]]:
-    """Rows of every labelled language, chosen by a hash of their content: ``sample_docs`` of each,
-    or fewer where there are over 64 languages, so that the total stays bounded. A language that
-    has only texts over ``sample_chars`` gives ``LONG_DOCS`` of them, whole."""
+def chosen(docs: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame | None:
+    """Rows (text, lang, place, no) of every labelled language, chosen by a hash of their content:
+    ``sample_docs`` of each, or fewer where there are over 64 languages, so that the total stays
+    bounded; None if no row is labelled. A language that has only texts over ``sample_chars`` gives
+    ``LONG_DOCS`` of them, whole. ``place`` and ``no`` give their order."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.length("text") <= sample_chars
     drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     counts = rows.groupBy("lang").agg(F.count("*").alias("all"), F.count(F.when(short, 1)).alias("short")).orderBy(F.desc("short"), "lang").collect()
     if not counts:
-        return []
+        return None
     each = max(1, min(sample_docs, 64 * sample_docs // len(counts)))
     # some more than wanted are drawn, and the first of them taken
-    asked = [(r["lang"], r["short"] > 0, n := each if r["short"] else min(each, LONG_DOCS), (2.0 * n + 20) / (r["short"] or r["all"])) for r in counts]
-    asked = docs.sparkSession.createDataFrame(asked, "lang string, is_short boolean, wanted int, share double")
+    asked = [(r["lang"], r["short"] > 0, n := each if r["short"] else min(each, LONG_DOCS), (2.0 * n + 20) / (r["short"] or r["all"]), i) for i, r in enumerate(counts)]
+    asked = docs.sparkSession.createDataFrame(asked, "lang string, is_short boolean, wanted int, share double, place int")
     picked = rows.select("text", F.col("lang").cast("string").alias("lang"), drawn.alias("drawn"), "doc_id", short.alias("is_short"))
     picked = picked.join(F.broadcast(asked), ["lang", "is_short"]).filter(F.col("drawn") <= F.col("share"))
     picked = picked.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))).filter("no <= wanted")
-    place = {r["lang"]: i for i, r in enumerate(counts)}
-    found = sorted(picked.select("text", "lang", "no").collect(), key=lambda x: (place[x["lang"]], x["no"]))
-    return [(x["text"], x["lang"]) for x in found]
+    return picked.select(F.col("text").cast("string").alias("text"), "lang", "place", "no")
+
+
+def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> list[tuple[str, str]]:
+    """(text, lang) of the ``chosen`` rows, in their order."""
+    rows = chosen(docs, sample_docs, sample_chars)
+    return [(x["text"], x["lang"]) for x in sorted(rows.collect() if rows else [], key=lambda x: (x["place"], x["no"]))]
+
+
+def _learn(batches):
+    """The model learned from the rows of a sample, as numbered pieces."""
+    rows = sorted((x for batch in batches for x in zip(*(batch[c].to_pylist() for c in ("place", "no", "text", "lang")), strict=True)), key=lambda x: x[:2])
+    model = pickle.dumps(train([x[2:] for x in rows]))
+    for i, at in enumerate(range(0, len(model), PIECE)):
+        yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "piece": pa.array([model[at : at + PIECE]], pa.binary())})
+
+
+def learned(docs: DataFrame, sample_docs: int, sample_chars: int) -> Crf | None:
+    """The model of a sample, learned by one task: arrays over all words of the sample take some
+    hundred MB, which the driver is spared. It gathers the model only."""
+    rows = chosen(docs, sample_docs, sample_chars)
+    if rows is None:
+        return None
+    pieces = rows.coalesce(1).mapInArrow(released(_learn), "i int, piece binary").collect()
+    return pickle.loads(b"".join(bytes(x["piece"]) for x in sorted(pieces, key=lambda x: x["i"]))) if pieces else None
 
 
 def _rows(crf: Crf | None, texts: list[str | None]):
@@ -338,7 +364,7 @@ def _predict(crf: Crf | None):
 def identify(docs: DataFrame, sample_docs: int = 250, sample_chars: int = 6000) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, n_words, n_switches`` of each document."""
     small_batches(docs.sparkSession)
-    crf = train(sample(docs, sample_docs, sample_chars))
+    crf = learned(docs, sample_docs, sample_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(released(_predict(crf)), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
 
@@ -356,5 +382,5 @@ def keep_known(docs: DataFrame, min_score: float = 0.3, sample_docs: int = 250,
     """``docs`` without those of no language: no letters, or no language with at least
     ``min_score`` of the words."""
     small_batches(docs.sparkSession)
-    crf = train(sample(docs, sample_docs, sample_chars))
+    crf = learned(docs, sample_docs, sample_chars)
     return docs.mapInArrow(released(_known(crf, min_score)), docs.schema)

@@ -400,6 +400,28 @@ def test_langid_samples_every_language(spark):
     assert [len(t) for t, lang in rows if lang == "long"] == [8800] * langid.LONG_DOCS
 
 
+def test_langid_learns_on_executors(spark, monkeypatch):
+    """The arrays of a sample stay out of the driver, and the model is what the sample teaches."""
+    rng = random.Random(6)
+    rows = [(i, texts_of(rng, lang, 40), lang) for i in range(240) for lang in [("aa", "bb", "cc")[i % 3]]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    plain = langid.train(langid.sample(frame, 250, 6000))
+
+    def features(*args):
+        raise AssertionError("the driver learned")
+
+    monkeypatch.setattr(langid, "features", features)
+    crf = langid.learned(frame, 250, 6000)
+    assert crf.labels == plain.labels and crf.lexicon == plain.lexicon
+    assert all((getattr(crf, x) == getattr(plain, x)).all() for x in ("weights", "trans", "start"))
+    assert langid.keep_known(frame).count() == len(rows)
+    monkeypatch.undo()
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    assert len([b for b in langid._learn(pa.Table.from_pylist([{"place": 0, "no": i, "text": t, "lang": x} for i, (_, t, x) in enumerate(rows)]).to_batches(50))]) > 10
+    assert langid.learned(frame.filter("lang = 'zz'"), 250, 6000) is None
+    assert langid.learned(frame.withColumn("text", F.lit("12 3")), 250, 6000) is None
+
+
 def test_langid_empty(empty):
     assert langid.identify(empty).count() == 0
 
