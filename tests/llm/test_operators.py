@@ -838,6 +838,45 @@ def test_ann_recall(spark, folder):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+@pytest.mark.parametrize("kind", ["queries apart", "unit, 256 dimensions", "very large"])
+def test_ann_other_rows(spark, kind):
+    """Vectors that lie otherwise than the driver's, against brute force."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 64))[rng.integers(0, 30, 4000)] + 0.1 * rng.normal(size=(4000, 64))
+    if kind == "queries apart":
+        x[::40] = rng.normal(size=(100, 64))
+    elif kind == "unit, 256 dimensions":
+        x = rng.normal(size=(4000, 256))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        x *= 1e22
+    v = x.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    found = defaultdict(dict)
+    for r in ann.search(frame, ann.every(40)).collect():
+        found[r.query_id][r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 4000, 40):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(4000), d))
+        hits += len(found[q].keys() & set(order[order != q][:10].tolist()))
+        assert len(found[q]) == 10 and all(math.isclose(s, d[i], rel_tol=1e-12) for i, s in found[q].items())
+    assert hits >= 0.95 * 10 * 100
+
+
+def test_ann_lists_lose_nothing(spark):
+    """In the lists that are probed, all the nearest are found, whatever the codes tell."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 96)).astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    found = defaultdict(dict)
+    for r in ann.search(frame, ann.every(50), lists=4, probes=4, subspaces=2).collect():
+        found[r.query_id][r.rank] = r.vec_id
+    for q in range(0, 3000, 50):
+        order = np.lexsort((np.arange(3000), ((v - v[q]) ** 2).sum(axis=1)))
+        assert [found[q][k] for k in range(1, 11)] == order[order != q][:10].tolist()
+
+
 def test_ann_parts():
     rng = np.random.default_rng(1)
     sizes = np.array([5, 0, 300, 7, 90, 20, 60])
