@@ -194,15 +194,19 @@ class Matcher:
     def _multiplied(self, a: Relation, b: Relation, access: Access, shown: frozenset[str], rows: float) -> tuple[Relation, Relation]:
         """Two sides of a join that multiplies rows: terms are rendered before it, once for each
         row of a side, and few keys do not make few tasks: a side that is small is broadcast, and
-        the other is dealt into as many tasks as the result needs."""
-        own = shown - (set(a.kinds) & set(b.kinds))
-        a, b = (x.rendered([n for n in x.kinds if n in own]) for x in (a, b))
-        if sum(e.sizes.edges for e in access.branches) > SMALL_SIDE or set(b.kinds) <= set(a.kinds):
-            return a, b
-        tasks = min(MOST_TASKS, math.ceil(rows / TASK_ROWS))
-        if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
-            a = Relation(a.df.repartition(tasks, *a.kinds), a.kinds, a.nullable)
-        return a, Relation(F.broadcast(b.df), b.kinds, b.nullable)
+        the other is dealt into as many tasks as the result needs. It is dealt as keys, before its
+        terms are rendered, by ranges of what is joined on: a task then repeats few rows of the small
+        side in one order, which takes little room where it is written."""
+        shared = set(a.kinds) & set(b.kinds)
+        small = sum(e.sizes.edges for e in access.branches) <= SMALL_SIDE and not set(b.kinds) <= set(a.kinds)
+        if small:
+            a, b, on = self._aligned(a, b)
+            tasks = min(MOST_TASKS, math.ceil(rows / TASK_ROWS))
+            if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                order = [*on, *(c for c in a.kinds if c not in shared)]
+                a = Relation(a.df.repartitionByRange(tasks, *order), a.kinds, a.nullable)
+        a, b = (x.rendered([n for n in x.kinds if n in shown - shared]) for x in (a, b))
+        return (a, Relation(F.broadcast(b.df), b.kinds, b.nullable)) if small else (a, b)
 
     def _stars(self, members: list[Access]) -> list[Access]:
         """Patterns around one subject that are columns of one table become one access."""

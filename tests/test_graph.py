@@ -266,6 +266,27 @@ def test_terms_before_multiplying_join(spark, monkeypatch):
     assert run_query(g, "SELECT DISTINCT ?n WHERE { ?a <p> ?n . ?b <q> ?n . FILTER(?n != <http://x/city/0>) }").count() == 2
 
 
+def test_multiplied_rows_lie_by_key(spark, monkeypatch):
+    """A task of a join that multiplies rows has few keys, and its side is dealt as keys, not terms."""
+    from tessera.operators import bgp
+
+    monkeypatch.setattr(bgp, "TASK_ROWS", 200)
+    near, city = iri("near", "http://x/"), iri("city", "http://x/")
+
+    def edges(name, n, first):
+        rows = spark.range(first, first + n).selectExpr("id AS s", "id % 3 AS o")
+        return Edges(f"<{name}>", near, city, lambda: rows, lambda: Sizes(n, n, 3))
+
+    df = run_query(Graph(spark, [edges("p", 90, 0), edges("q", 60, 1000)]), "SELECT ?a ?b WHERE { ?a <p> ?n . ?b <q> ?n }")
+    parts = [rows for rows in df.rdd.glom().collect() if rows]
+    assert sum(map(len, parts)) == 1800 and len(parts) == 9
+    keys = [len({int(r.a.rsplit("/", 1)[1][:-1]) % 3 for r in rows}) for rows in parts]
+    assert max(keys) <= 2 and keys.count(1) >= 7
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert "concat(" in plan[:dealt] and "concat(" not in plan[dealt : plan.index("Range (1000,")]
+
+
 def test_learned_order(graph, tmp_path):
     rng = random.Random(3)
 
